@@ -1,4 +1,6 @@
-"""All queries of the document operators by name, and SQL of the same results."""
+"""All queries of the library and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import assets, pages, parsers, tables, text  # noqa: F401  they register themselves
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
