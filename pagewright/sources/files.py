@@ -1,7 +1,7 @@
 """Scans of files and folders: which are documents, by what route they go, their text or bytes.
 
 Files come through Spark's binary source, so any store that Spark reads will do. Every failure is a row's ``error``, not
-an exception.
+an exception. Spark's scan leaves out files of no bytes, so an empty file gives no row.
 """
 
 from __future__ import annotations
