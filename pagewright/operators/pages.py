@@ -6,10 +6,13 @@ frames (see ``models``); where there are none a page degrades to its text layer.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import splice as SP
 from ..functions import text as T
+from ..session import ship
 from . import glyphs as GL
 from . import ownership as OW
 from .ordered import joined
@@ -111,3 +114,43 @@ def gate_pages(full: DataFrame, fast: DataFrame, gated: DataFrame) -> DataFrame:
     rows = fast.select(*GL.PAGE, F.col("md").alias("fast_md")).join(full.select(*GL.PAGE, F.col("md").alias("full_md")), GL.PAGE, "left").join(gated.select(*GL.PAGE, "fires", "salvaged"), GL.PAGE, "left")
     fallen = F.concat(F.col("fast_md"), F.array_join(F.transform(F.coalesce("salvaged", F.array().cast("array<string>")), lambda s: F.concat(F.lit("\n\n"), s)), ""))
     return rows.select(*GL.PAGE, F.when(F.coalesce("fires", F.lit(False)), fallen).otherwise(with_fallback(F.col("full_md"), F.col("fast_md"))).alias("md"))
+
+
+def place_page_images(pages: DataFrame, lines: DataFrame, rasters: DataFrame, min_area: float = 100.0) -> DataFrame:
+    """Fast pages (doc_id, page_no, md) with links to placed images before the text that follows them on the page.
+
+    ``lines``: bounds and text of visual lines; ``rasters``: bounds and ``src``. Decoration and images that the text
+    references are left out; those that find no line stay for the gallery. A page's lines and images are gathered to
+    arrays; what finds their places keeps a cursor, so it is a function of the page.
+    """
+    ship(pages.sparkSession)
+    by_line = lines.groupBy(*GL.PAGE).agg(F.collect_list(F.struct("y0", "y1", "text")).alias("lines"))
+    sized = rasters.where((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) >= min_area)
+    by_image = sized.groupBy(*GL.PAGE).agg(F.array_sort(F.collect_list(F.struct("y0", "y1", "src"))).alias("images"))
+
+    @F.pandas_udf("string")
+    def place(texts: pd.Series, lines: pd.Series, images: pd.Series) -> pd.Series:
+        row = lambda r, last: (r["y0"], r["y1"], r[last])
+        return pd.Series([SP.place_images(t, [row(x, "text") for x in ls], [row(x, "src") for x in ims]) for t, ls, ims in zip(texts, lines, images)])
+
+    rows = pages.join(by_image, GL.PAGE, "left").join(by_line, GL.PAGE, "left")
+    fresh = F.filter("images", lambda i: ~F.contains("md", F.concat(F.lit("("), i["src"], F.lit(")"))))
+    rows = rows.withColumn("images", fresh)
+    wanted = (F.size(F.coalesce("images", F.array().cast(rows.schema["images"].dataType))) > 0) & F.col("lines").isNotNull() & F.col("md").isNotNull()
+    placed, others = rows.where(wanted), rows.where(~F.coalesce(wanted, F.lit(False)))
+    return placed.withColumn("md", place("md", "lines", "images")).unionByName(others).drop("lines", "images")
+
+
+def splice_formulas(pages: DataFrame, formulas: DataFrame) -> DataFrame:
+    """Pages (doc_id, page_no, md) with recognized formulas in the places of their text: ``formulas`` has ``ord``,
+    ``needle`` and ``block``. A needle is found despite reflow; a block whose needle is not found follows at the end."""
+    ship(pages.sparkSession)
+    by_page = formulas.groupBy(*GL.PAGE).agg(F.array_sort(F.collect_list(F.struct("ord", "needle", "block"))).alias("found"))
+
+    @F.pandas_udf("string")
+    def put(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([SP.splice(t, [(f["needle"] or "", f["block"] or "") for f in fs]) for t, fs in zip(texts, found)])
+
+    rows = pages.join(by_page, GL.PAGE, "left")
+    wanted = F.col("found").isNotNull() & F.col("md").isNotNull()
+    return rows.where(wanted).withColumn("md", put("md", "found")).unionByName(rows.where(~wanted)).drop("found")

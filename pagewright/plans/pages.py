@@ -257,3 +257,30 @@ def page_assembly(spark, d):
     pages = structured_pages(lined, regions(lined))
     docs = documents_of(pages)
     return docs.select("doc_id", "n_pages", F.sha2("md", 256).alias("md_sha256"))
+
+
+@query(r"""SELECT doc_id, sha256(regexp_replace(text, '^(\s*)\S+\s+\S+', '\1$$' || chr(10) || 'x' || chr(10) || '$$') || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || '$lost$' ELSE '' END) AS md_sha256 FROM documents WHERE regexp_matches(text, '^\s*\S+\s+\S')""")
+def surgical_splice(spark, d):
+    """A formula in the place of each text's first two words, and for half of them one whose place is not found."""
+    from ..operators.pages import splice_formulas
+
+    docs = table(spark, d, "documents").where(F.rlike("text", F.lit(r"(?U)^\s*\S+\s+\S")))
+    pages = docs.select("doc_id", F.lit(0).alias("page_no"), F.col("text").alias("md"))
+    ws = T.words("text")
+    first = docs.select("doc_id", F.lit(0).alias("page_no"), F.lit(0).alias("ord"), F.concat(F.get(ws, F.lit(0)), F.lit("  \n"), F.get(ws, F.lit(1))).alias("needle"), F.lit("$$\nx\n$$").alias("block"))
+    lost = docs.where("doc_id % 2 = 0").select("doc_id", F.lit(0).alias("page_no"), F.lit(1).alias("ord"), F.lit("no \u2603 where").alias("needle"), F.lit("$lost$").alias("block"))
+    return splice_formulas(pages, first.unionByName(lost)).select("doc_id", F.sha2("md", 256).alias("md_sha256"))
+
+
+@query()
+def image_interleave(spark, d):
+    """Two images on each page of text, linked before the lines that follow them."""
+    from ..operators.pages import place_page_images
+
+    lined = _lined(spark, d)
+    lines = GL.line_texts(lined)
+    pages = lines.groupBy(*GL.PAGE).agg(OR.joined("text", ["line_no"], "\n").alias("md"))
+    k = F.col("img_no")
+    rasters = pages.select(*GL.PAGE, F.explode(F.sequence(F.lit(0), F.lit(1))).alias("img_no")).select(*GL.PAGE, F.lit(50.0).alias("x0"), (100.0 + 60 * k).alias("y0"), F.lit(90.0).alias("x1"), (130.0 + 60 * k).alias("y1"), F.format_string("p%d/img%d.png", "page_no", k).alias("src"))
+    placed = place_page_images(pages, lines, rasters)
+    return placed.select(*GL.PAGE, T.count_of(F.col("md"), r"!\[").alias("n_links"), F.sha2("md", 256).alias("md_sha256"))
