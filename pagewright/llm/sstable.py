@@ -204,10 +204,10 @@ def shard_writer(tokenizer_path: str, folder: str, end_id: int, shard_bytes: int
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        tokenizer = units.library_tokenizer(tokenizer_path)
+        tokenizer = units.kept(("tokenizer", tokenizer_path), lambda: units.library_tokenizer(tokenizer_path))
         width = 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        encode = id_encoder(tokenizer, width)
-        cache, end = units.UnitCache(encode), end_id.to_bytes(width, "little")
+        cache = units.kept(("ids", tokenizer_path, width), lambda: units.UnitCache(id_encoder(tokenizer, width)))
+        encode, end = cache.encode, end_id.to_bytes(width, "little")
         rows, out, path = [], None, ""
 
         def close():

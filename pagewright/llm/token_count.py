@@ -67,8 +67,8 @@ def token_counts(docs: DataFrame, path: str, text_col: str = "text", out_col: st
         table = spark.sparkContext.broadcast(frequent_lengths(sample, path, table_rows))
 
     def count(batches):
-        number = counter(path)
-        cache = units.UnitCache(number)
+        cache = units.kept(("lengths", path), lambda: units.UnitCache(counter(path)))
+        number = cache.encode
         first_tier = table.value if apart else {}
         known = first_tier.get
         for batch in batches:

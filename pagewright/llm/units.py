@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 
 import numpy as np
 
@@ -16,6 +17,14 @@ import numpy as np
 _SPACE_PAIR = re.compile(r"\s ")
 
 
+#: Marks that the pattern always parts from letters before them.
+MARKS = frozenset(string.punctuation)
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+#: Characters that stand for bytes in a byte-level vocabulary: those that show for themselves, the rest from 256 on.
+BYTE_CHARS = {b: chr(b) if b in _SHOWN else chr(256 + sum(c not in _SHOWN for c in range(b))) for b in range(256)}
+SPACE = BYTE_CHARS[32]
+
+
 def cut(text: str) -> tuple[str, list[str]]:
     """``(first, rest)``: the first unit, and the later ones without their leading space."""
     parts = text.split(" ")
@@ -42,14 +51,26 @@ class UnitCache(dict):
 
     LONGEST = 64
 
-    def __init__(self, encode, limit: int = 250_000):
+    def __init__(self, encode, limit: int = 400_000):
         super().__init__()
-        self.encode, self.limit, self.older = encode, limit, {}
+        self.encode, self.limit, self.older, self.marks = encode, limit, {}, {}
+
+    def value(self, unit: str):
+        """What a unit that is not known encodes to. Letters and one mark are the letters' value and the mark's."""
+        if unit[-1:] in MARKS and len(unit) <= self.LONGEST and unit[:-1].isalpha():
+            return self[unit[:-1]] + self.mark(unit[-1])
+        return self.encode([" " + unit])[0]
+
+    def mark(self, mark: str):
+        value = self.marks.get(mark)
+        if value is None:
+            value = self.marks[mark] = self.encode([mark])[0]
+        return value
 
     def __missing__(self, unit: str):
         value = self.older.get(unit)
         if value is None:
-            value = self.encode([" " + unit])[0]
+            value = self.value(unit)
             if len(unit) > self.LONGEST:
                 return value
         if len(self) >= self.limit:
@@ -60,20 +81,54 @@ class UnitCache(dict):
 
     def fill(self, units: list[list[str]], at_once: int = 5_000) -> None:
         """Encode all units of a part of a batch that are not known, in few calls of the library."""
-        new = [x for x in set().union(*units).difference(self.keys()) if len(x) <= self.LONGEST and x not in self.older]
-        if len(self) + len(new) > self.limit:
+        older = self.older
+        new = [x for x in set().union(*units) if x not in self and x not in older and len(x) <= self.LONGEST]
+        marked = [x for x in new if x[-1:] in MARKS and x[:-1].isalpha()]
+        cores = {c for c in (x[:-1] for x in marked) if c not in self and c not in older}
+        plain = list(cores.union(new).difference(marked))
+        if len(self) + len(plain) + len(marked) > self.limit:
             self.older = dict(self)
             self.clear()
-        for at in range(0, min(len(new), self.limit), at_once):
-            part = new[at : at + at_once]
+        for at in range(0, min(len(plain), self.limit), at_once):
+            part = plain[at : at + at_once]
             self.update(zip(part, self.encode([" " + x for x in part])))
+        for x in marked:
+            self[x] = self[x[:-1]] + self.mark(x[-1])
+
+
+_kept: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make):
+    """One object for each key in a worker, over all its tasks; what is kept bounds its own size."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
 
 
 def encode_units(tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of many units and where each one's begin; one call for all units that may stand next to each other.
+    """Ids of many units and where each one's begin.
 
-    A unit that ends in white space would join with the next one's space, so those are encoded by themselves.
+    A space and letters are one match of the pattern, so they go straight to the library's model; so does nothing that
+    could be a special string. All other units that may stand next to each other are one call. A unit that ends in
+    white space would join with the next one's space, so those are encoded by themselves.
     """
+    words = [t[:1] == " " and t[1:].isalpha() for t in texts]
+    if any(words):
+        tokenize = tokenizer.model.tokenize
+        others = encode_units(tokenizer, [t for t, w in zip(texts, words) if not w])
+        ids, bounds, flat, ends, k = others[0].tolist(), others[1].tolist(), [], [0], 0
+        for t, w in zip(texts, words):
+            if w:
+                letters = t[1:]
+                if not letters.isascii():
+                    letters = letters.encode().decode("latin-1").translate(BYTE_CHARS)
+                flat += [x.id for x in tokenize(SPACE + letters)]
+            else:
+                flat += ids[bounds[k] : bounds[k + 1]]
+                k += 1
+            ends.append(len(flat))
+        return np.array(flat, np.uint32), np.array(ends, np.int64)
     apart = {i for i, t in enumerate(texts) if not t[:1] == " " or t[-1:].isspace()}
     if apart:
         found = {i: e.ids for i, e in zip(sorted(apart), tokenizer.encode_batch_fast([texts[i] for i in sorted(apart)], add_special_tokens=False))}
