@@ -42,14 +42,17 @@ def by_page(regions: DataFrame, *columns: str) -> DataFrame:
 def _owner(regions, glyph: G.Box) -> Column:
     """The region of the largest overlap; near-equal overlaps go to the earlier claim. A fold, as ties are not transitive."""
 
+    rated = F.transform(
+        F.filter(regions, lambda r: r["priority"] != OWNS_NOTHING),
+        lambda r: F.struct(G.shared(G.of_struct(r), glyph).alias("a"), r["claim_rank"].alias("rank"), r["no"].alias("no")),
+    )
+
     def take(best, r):
-        inter = G.shared(G.of_struct(r), glyph)
-        near = (F.abs(inter - best["a"]) <= best["a"] * TIE) & (r["claim_rank"] < best["rank"])
-        better = (inter > 0) & (best["no"].isNull() | (inter > best["a"]) | near)
-        return F.when(better, F.struct(inter.alias("a"), r["claim_rank"].alias("rank"), r["no"].alias("no"))).otherwise(best)
+        near = (F.abs(r["a"] - best["a"]) <= best["a"] * TIE) & (r["rank"] < best["rank"])
+        return F.when(best["no"].isNull() | (r["a"] > best["a"]) | near, r).otherwise(best)
 
     start = F.struct(F.lit(0.0).alias("a"), F.lit(0).alias("rank"), F.lit(None).cast("int").alias("no"))
-    return F.aggregate(F.filter(regions, lambda r: r["priority"] != OWNS_NOTHING), start, take)["no"]
+    return F.aggregate(F.filter(rated, lambda r: r["a"] > 0), start, take)["no"]
 
 
 def glyph_owners(glyphs: DataFrame, regions: DataFrame, scale: float = 1.0) -> DataFrame:
