@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-WIDTH, SEED, MAX_BITS, BLOCK = 4, 42, 4, 2048
+WIDTH, SEED, MAX_BITS, BLOCK, MAX_DROPPED = 4, 42, 4, 2048, 2_000_000
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 GENERATOR = 0b101011100011
 
@@ -47,29 +47,39 @@ def golay_codewords() -> np.ndarray:
     return out
 
 
-def golay_keys() -> np.ndarray:
-    """For every 23-bit word the indices of the codewords within four of its extension: six columns, -1 where fewer."""
-    n = 1 << 23
-    keys, filled = np.full((n, 6), -1, np.int16), np.zeros(n, np.uint8)
-    spots = [1 << i for i in range(24)]
-    near = [0, *map(sum, combinations(spots, 2)), *map(sum, combinations(spots, 4))]
+def error_patterns() -> np.ndarray:
+    """For each of the 4096 syndromes the patterns of at most four errors that have it: six columns, 0 where fewer.
+
+    Words of even weight have syndromes of patterns of even weight: none, one of two errors, or six of four. The empty
+    pattern has a row of its own (syndrome 0), so that 0 can stand for no pattern elsewhere.
+    """
     words = golay_codewords()
-    index = np.arange(4096, dtype=np.int16)
-    for error in near:
-        # words differ, so each codeword plus one error is a word of its own
-        at = (words ^ np.uint32(error)) >> 1
-        keys[at, filled[at]] = index
+    spots = [1 << i for i in range(24)]
+    table, filled = np.zeros((4096, 6), np.uint32), np.zeros(4096, int)
+    for error in [*map(sum, combinations(spots, 2)), *map(sum, combinations(spots, 4))]:
+        at = int(words[error >> 12]) & 0xFFF ^ error & 0xFFF
+        # two errors leave no pattern of four with the same syndrome: those are six or one
+        table[at, filled[at]] = error
         filled[at] += 1
-    return keys
+    return table
 
 
-_keys: list[np.ndarray] = []
+_tables: list[np.ndarray] = []
 
 
 def segment_keys(values: np.ndarray) -> np.ndarray:
-    if not _keys:
-        _keys.append(golay_keys())
-    return _keys[0][values]
+    """Indices of the codewords within four of each segment's extended word: six columns, -1 where fewer."""
+    if not _tables:
+        _tables.extend((golay_codewords(), error_patterns()))
+    words, table = _tables
+    extended = (values << 1 | (np.bitwise_count(values) & 1)).astype(np.uint32)
+    syndrome = words[extended >> 12] & 0xFFF ^ extended & 0xFFF
+    errors = table[syndrome]
+    keys = ((extended[:, None] ^ errors) >> 12).astype(np.int32)
+    none = errors == 0
+    none[:, 0] &= syndrome != 0
+    keys[none] = -1
+    return keys
 
 
 def fuzzy_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +87,7 @@ def fuzzy_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     found = [segment_keys((prints >> np.uint64(low) & np.uint64((1 << bits) - 1)).astype(np.int64)) for low, bits in SEGMENTS]
     rows, keys = [], []
     for k, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-        a, b = found[i].astype(np.int32)[:, :, None], found[j].astype(np.int32)[:, None, :]
+        a, b = found[i][:, :, None], found[j][:, None, :]
         good = (a >= 0) & (b >= 0)
         keys.append(((k << 24) + (a << 12) + b)[good])
         rows.append(np.nonzero(good)[0])
@@ -142,19 +152,28 @@ def forest(prints: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     return links
 
 
+def short_forests(runs: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of many runs of equal length, one a row, without those that two links to an earlier place imply.
+
+    A link (i, j) goes if some k before both is linked to both: the ends stay connected by links that begin earlier.
+    """
+    close = np.triu(np.bitwise_count(runs[:, :, None] ^ runs[:, None, :]) <= max_bits, 1).astype(np.float32)
+    row, i, j = np.nonzero((close > 0) & (close.transpose(0, 2, 1) @ close == 0))
+    return runs[row, i], runs[row, j]
+
+
 def runs_to_links(keys: np.ndarray, prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows with equal keys; rows come sorted by key. Short runs are compared together, shift by shift."""
+    """Links among rows with equal keys that have the components of all; rows come sorted by key."""
     a, b = [], []
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(starts, len(keys)))
-    short = np.repeat(sizes <= 32, sizes)
-    for shift in range(1, min(32, sizes.max(initial=0))):
-        same = np.flatnonzero((keys[shift:] == keys[:-shift]) & short[shift:])
-        if not len(same):
-            break
-        close = same[np.bitwise_count(prints[same] ^ prints[same + shift]) <= max_bits]
-        a.append(prints[close])
-        b.append(prints[close + shift])
+    for size in range(2, 33):
+        of = starts[sizes == size]
+        step = max(1, (1 << 19) // (size * size))
+        for at in range(0, len(of), step):
+            x, y = short_forests(prints[of[at : at + step, None] + np.arange(size)], max_bits)
+            a.append(x)
+            b.append(y)
     for start, size in zip(starts[sizes > 32], sizes[sizes > 32]):
         run = prints[start : start + size]
         links = forest(run, max_bits)
@@ -197,10 +216,30 @@ def link_runs(rows: DataFrame, keys: list[str], max_bits: int) -> DataFrame:
             out = np.array(fresh, np.uint64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, 0]).view(np.int64)), pa.array(np.ascontiguousarray(out[:, 1]).view(np.int64))], names=["a", "b"])
 
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "fp")
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "fp").select(*keys, "fp")
     return dealt.mapInArrow(scan, "a long, b long").distinct()
 
 
+def heavy_keys(keyed: DataFrame, block: int) -> DataFrame:
+    """``key, count`` of keys with more than ``block`` rows.
+
+    Such a key has more than its share of ``block`` in some partition (pigeonhole), so only keys that have are counted
+    exactly; where partitions are so many that a share is below one, all are.
+    """
+    share = block // max(1, keyed.rdd.getNumPartitions())
+
+    def often(batches):
+        parts = [batch.column(0).to_numpy(zero_copy_only=False) for batch in batches]
+        keys, counts = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.int32), np.empty(0, int))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[counts > share])], names=["key"])
+
+    rows = keyed.select("key")
+    if share > 1:
+        candidates = common.materialize(rows.mapInArrow(often, "key int").distinct(), "often-keys")
+        rows = rows.join(F.broadcast(candidates) if common.bounded(candidates, 200_000) else candidates, "key", "left_semi")
+    return rows.groupBy("key").count().where(F.col("count") > block)
+
+
 def find_links(nodes: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """A set of verified links between distinct fingerprints that has the components of all links.
 
@@ -211,7 +250,7 @@ def find_links(nodes: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -
     if max_bits > 4:
         raise ValueError("three segments with two errors each carry at most four differing bits")
     keyed = common.materialize(key_rows(nodes), "fuzzy-keys")
-    heavy = common.materialize(keyed.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("n")), "heavy-keys")
+    heavy = common.materialize(heavy_keys(keyed, block).select("key", F.ceil(F.col("count") / block).cast("int").alias("n")), "heavy-keys")
     plain, split = keyed, None
     if not heavy.isEmpty():
         heavy = F.broadcast(heavy) if common.bounded(heavy, 200_000) else heavy
@@ -249,5 +288,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     best = F.min(F.struct(F.col(f"__row.`{id_col}`").isNull().alias("n"), F.col(f"__row.`{id_col}`").alias("i"), F.col("rid").alias("r"))).alias("best")
     per_print = rows.groupBy("fp").agg(best)
     linked = per_print.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    keep = common.materialize(linked.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.r").alias("rid")), "kept")
-    return common.unpack(rows.join(keep, "rid", "left_semi"))
+    keep = linked.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.r").alias("rid"))
+    # what goes is told by number and broadcast up to a bound, so that no text is shuffled; beyond it the join merges
+    drop = common.materialize(rows.select("rid").join(keep, "rid", "left_anti"), "dropped")
+    drop = F.broadcast(drop) if common.bounded(drop, MAX_DROPPED) else drop
+    return common.unpack(rows.join(drop, "rid", "left_anti"))
