@@ -126,7 +126,7 @@ class Codec:
             self.bytes_of[i] = token
         self.decimals = [b"%d" % i for i in range(size)]
         # Units are safe to cut only where the pattern leaves all but one leading space to white-space runs.
-        self.cache = units.UnitCache(lambda texts: [self.packed(t) for t in texts], 200_000)
+        self.cache = units.UnitCache(lambda texts: [self.packed(t) for t in texts], 120_000)
 
     def ids(self, text: str) -> list[int]:
         out: list[int] = []
@@ -159,7 +159,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
     common.ship(docs.sparkSession)
 
     def encode(batches):
-        codec = units.kept(("codec", ranks_path, pattern), lambda: Codec(load_ranks(ranks_path), pattern))
+        codec = Codec(load_ranks(ranks_path), pattern)
         sha = hashlib.sha256
         for batch in batches:
             texts = batch.column(1)
