@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, nearcopies
 from .components import components
 
 WIDTH, SEED, MAX_BITS, BLOCK, MAX_DROPPED = 4, 42, 4, 2048, 2_000_000
@@ -282,12 +282,15 @@ def op10_simhash_golay(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: that of the smallest identifier (nulls last)."""
-    rows = common.materialize(with_fingerprint(docs, text_col).withColumn("rid", F.monotonically_increasing_id()), "fingerprints")
-    groups = print_groups(rows)
+    """``docs`` with one row of each group of near copies: that of the smallest identifier (nulls last).
+
+    Groups are those of ``nearcopies``, five-word shingles at similarity 0.8; the limits above are the query's only.
+    """
+    rows = common.materialize(nearcopies.with_sketch(docs, text_col).withColumn("rid", F.monotonically_increasing_id()), "sketches")
+    groups = nearcopies.node_groups(rows, text_col)
     best = F.min(F.struct(F.col(f"__row.`{id_col}`").isNull().alias("n"), F.col(f"__row.`{id_col}`").alias("i"), F.col("rid").alias("r"))).alias("best")
-    per_print = rows.groupBy("fp").agg(best)
-    linked = per_print.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    per_node = rows.groupBy("node").agg(best)
+    linked = per_node.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keep = linked.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.r").alias("rid"))
     # what goes is told by number and broadcast up to a bound, so that no text is shuffled; beyond it the join merges
     drop = common.materialize(rows.select("rid").join(keep, "rid", "left_anti"), "dropped")

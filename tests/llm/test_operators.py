@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, common, components, decontam, langid, lattice, lm, quality, queries, simhash, sstable, token_count, units, urlfilter, warc
+from pagewright.llm import bpe, common, components, decontam, langid, lattice, lm, nearcopies, quality, queries, simhash, sstable, token_count, units, urlfilter, warc
 
 VOCAB = P.path("piece_bpe_32k.model")
 FR, EN = "le chat noir dort sur la table et la nuit tombe", "the black cat sleeps on the table and night falls"
@@ -442,3 +442,36 @@ def test_sql_of_queries(spark, sf):
         names = [c[0] for c in rows.description]
         assert sorted(names) == sorted(out.columns)
         same(out.select(*names).collect(), rows.fetchall())
+
+
+def similarity(a, b):
+    x, y = ({" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (ws_words(lower(a)), ws_words(lower(b))))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("block", [4, 2048])
+def test_near_copies_by_shingles(spark, block):
+    """Groups at a similarity of 0.8 against all pairs, most of them beyond four bits; blocks lose none."""
+    rng, texts = random.Random(9), []
+    for _ in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        for edits in (0, 1, 2, 3, 4, 5, 7, 9):
+            copy = list(base)
+            for at in rng.sample(range(150), edits):
+                copy[at] = f"x{rng.randrange(5000)}"
+            texts.append(" ".join(copy))
+    root = list(range(len(texts)))
+    far = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if similarity(texts[i], texts[j]) >= 0.8:
+                far += (print_of(texts[i]) ^ print_of(texts[j])).bit_count() > 4
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if x == old else x for x in root]
+    assert far > 10
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = common.materialize(nearcopies.with_sketch(docs).withColumn("rid", F.monotonically_increasing_id()), "t")
+    of = {r.node: r.root for r in nearcopies.node_groups(rows, block=block).collect()}
+    mine = {r.doc_id: of.get(r.node, r.node) for r in rows.select("__row.doc_id", "node").collect()}
+    assert len({(mine[i], root[i]) for i in mine}) == len(set(mine.values())) == len(set(root))
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(root)
