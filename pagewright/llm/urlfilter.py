@@ -1,4 +1,4 @@
-"""URL filters by association rules: Spark's FP-growth mines token combinations that go with the label ``block``.
+"""URL filters by association rules: token combinations that go with the label ``block``, mined by growing size.
 
 A URL's tokens are the suffixes of its host, its path segments with their places (digits masked) and its query keys.
 Labelled URLs are transactions of tokens and the label; rules ``tokens -> block`` are kept by support and confidence,
@@ -6,8 +6,9 @@ those that contain another kept rule's tokens are pruned, and the rest is matche
 rules. A list of host and path rules comes first: the longest that fits decides, and what it decides is also the
 labels to learn from, unless a table of labels is given. URLs that no rule of either kind fits are allowed.
 
-The rules that come to the driver and are broadcast number ``MAX_RULES`` at most: if more pass, support is doubled and
-mining repeated, which changes what counts as frequent but drops no URL.
+Only minimal combinations are mined: one that passes is not extended, nor one as frequent as a part of it. Support is
+the same at every input size; distinct baskets are counted in Spark, and what comes to the driver is counts of frequent
+combinations, which follow the support and not the number of URLs.
 
 Nulls: a null URL, or one without ``://``, has empty host and path, no tokens, fits nothing and is allowed. Repeated
 rows are judged each.
@@ -15,11 +16,11 @@ rows are judged each.
 
 from __future__ import annotations
 
-import re
+import math
 from collections import defaultdict
+from itertools import combinations
 
 import pyarrow as pa
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,7 @@ from . import common
 
 #: (verdict, host, path) of the rule list that the query applies.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_RULES = 0.01, 0.9, 20_000
-LABEL = "=block"
+MIN_SUPPORT, MIN_CONFIDENCE = 0.01, 0.9
 
 
 def parse(urls: DataFrame, url_col: str = "url") -> DataFrame:
@@ -63,25 +63,61 @@ def tokens():
     return F.array_distinct(F.concat(suffixes, places, keys))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_rules: int = MAX_RULES) -> list[frozenset[str]]:
-    """Token combinations of rules for block, from ``items`` (tokens) and ``blocked`` (boolean)."""
+def grown(sets: dict[tuple[str, ...], int]) -> list[tuple[str, ...]]:
+    """Sorted sets of one token more whose subsets of one token less are all in ``sets``."""
+    by_head: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    for s in sorted(sets):
+        by_head[s[:-1]].append(s[-1])
+    both = ((*head, x, y) for head, last in by_head.items() for x, y in combinations(last, 2))
+    return [c for c in both if all(c[:i] + c[i + 1 :] in sets for i in range(len(c) - 2))]
+
+
+def count_sets(baskets: DataFrame, sets: list[tuple[str, ...]]) -> dict[tuple[str, ...], tuple[int, int]]:
+    """How many baskets, and how many blocked ones, contain each set; summed per task first."""
+    sent = baskets.sparkSession.sparkContext.broadcast(sets)
+
+    def count(batches):
+        by_pair: dict[str, dict[str, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for i, s in enumerate(sent.value):
+            by_pair[s[0]][s[1]].append(i)
+        n, blocked = [0] * len(sent.value), [0] * len(sent.value)
+        for batch in batches:
+            for items, is_blocked, times in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                have = set(items)
+                for first in have & by_pair.keys():
+                    for second in have & by_pair[first].keys():
+                        for i in by_pair[first][second]:
+                            if have.issuperset(sent.value[i]):
+                                n[i] += times
+                                blocked[i] += times * is_blocked
+        at = [i for i, x in enumerate(n) if x]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([n[i] for i in at], pa.int64()), pa.array([blocked[i] for i in at], pa.int64())], names=["i", "n", "b"])
+
+    rows = baskets.select("items", "blocked", "times").mapInArrow(count, "i int, n long, b long")
+    return {sets[r["i"]]: (r["n"], r["b"]) for r in rows.groupBy("i").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).collect()}
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[frozenset[str]]:
+    """Minimal token combinations of rules for block, from ``items`` (tokens) and ``blocked`` (boolean)."""
     spark = labelled.sparkSession
-    baskets = common.materialize(labelled.select(F.when(F.col("blocked"), F.array_append("items", F.lit(LABEL))).otherwise(F.col("items")).alias("items")).where(F.size("items") > 0), "baskets")
-    if baskets.isEmpty():
+    common.ship(spark)
+    grouped = labelled.where((F.size("items") > 0) | F.col("blocked")).groupBy(F.array_sort(F.array_distinct("items")).alias("items"), "blocked").agg(F.count(F.lit(1)).alias("times"))
+    baskets = common.materialize(grouped, "baskets")
+    total = baskets.agg(F.sum("times")).first()[0]
+    if not total:
         return []
-    while True:
-        model = FPGrowth(itemsCol="items", minSupport=min(min_support, 1.0), minConfidence=min_confidence, numPartitions=common.shuffle_parts(spark)).fit(baskets)
-        rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(LABEL))).select("antecedent")
-        found = rules.limit(max_rules + 1).collect()
-        if len(found) <= max_rules or min_support >= 1:
-            break
-        min_support *= 2
+    least = math.ceil(min(min_support, 1.0) * total)
+    single = baskets.select(F.explode("items").alias("t"), "blocked", "times").groupBy("t").agg(F.sum("times").alias("n"), F.sum(F.when(F.col("blocked"), F.col("times")).otherwise(0)).alias("b"))
+    found = {(r["t"],): (r["n"], r["b"]) for r in single.where((F.col("b") >= least) & (F.col("b") > 0)).collect()}
     kept: list[frozenset[str]] = []
-    by_first: dict[str, list[frozenset[str]]] = defaultdict(list)
-    for rule in sorted((frozenset(r[0]) for r in found), key=lambda s: (len(s), sorted(s))):
-        if not any(small <= rule for t in rule for small in by_first[t]):
-            kept.append(rule)
-            by_first[min(rule)].append(rule)
+    while found:
+        kept += [frozenset(s) for s, (n, b) in sorted(found.items()) if b >= min_confidence * n]
+        # what passes is not extended: all of its supersets would be pruned
+        open_sets = {s: n for s, (n, b) in found.items() if b < min_confidence * n}
+        wanted = grown(open_sets)
+        counts = count_sets(baskets, wanted) if wanted else {}
+        # nor is a set as frequent as one of its subsets: the subset stands for it, in every superset too
+        found = {s: (n, b) for s, (n, b) in counts.items() if b >= max(least, 1) and all(n < open_sets[s[:i] + s[i + 1 :]] for i in range(len(s)))}
     return kept
 
 

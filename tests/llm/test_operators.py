@@ -475,3 +475,13 @@ def test_near_copies_by_shingles(spark, block):
     mine = {r.doc_id: of.get(r.node, r.node) for r in rows.select("__row.doc_id", "node").collect()}
     assert len({(mine[i], root[i]) for i in mine}) == len(set(mine.values())) == len(set(root))
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(root)
+
+
+def test_hot_template_keeps_support(spark):
+    """A template of 15 tokens, with 2^15 - 1 antecedents of equal support, drives out no other rule."""
+    hot = "http://a.b.c.spam.com/p/q/r/s/t/u/v?x=1&y=2&z=3"
+    rows = [(hot, True)] * 400 + [(f"http://rare.org/bad/{i}", True) for i in range(30)] + [(f"http://rare.org/good/{i}", False) for i in range(570)]
+    labels = spark.createDataFrame(rows, "url string, blocked boolean")
+    urls = spark.createDataFrame([(hot,), ("http://rare.org/bad/x",), ("http://rare.org/good/x",)], "url string")
+    out = urlfilter.judge(urls, rules=(), labels=labels)
+    assert [r.verdict for r in out.orderBy("__row.url").collect()] == ["block", "block", "allow"]
