@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space of every word rule here, as Python's ``bytes.split()`` has it.
 WS = " \t\n\x0b\x0c\r"
+#: Bytes of texts that a worker takes together.
+PART_BYTES = 6 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _own: dict[str, str] = {}
@@ -74,6 +76,39 @@ def unpack(df: DataFrame) -> DataFrame:
     return df.select("__row.*")
 
 
+def field(batch, name_or_place):
+    """A column of the caller's row in an Arrow batch of packed rows, so that no value is sent twice."""
+    return batch.column(0).field(name_or_place)
+
+
+def give_back() -> None:
+    """Return what a worker has freed to the system: idle workers stay, and others need the memory."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def text_parts(texts, at_once: int = PART_BYTES):
+    """Slices ``(first, texts)`` of an array of texts with ``at_once`` bytes at most, or of one longer text."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + at_once, "right")))
+        yield at, texts.slice(at, end - at)
+        at = end
+
+
 def ascii_lower(text):
     """Lower-case A to Z only; other letters stay."""
     return F.translate(text, UPPER, LOWER)
@@ -89,6 +124,24 @@ def bounded(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def most_frequent(counts: DataFrame, limit: int) -> dict[str, int]:
+    """Of ``key, c`` the most frequent: all from some count on, ``limit`` at most.
+
+    That count comes from a histogram, so that no partition sends rows that do not stay.
+    """
+    bucket = F.floor(F.log2("c") * 8)
+    sizes = sorted(((r["b"], r["n"]) for r in counts.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    least, held = None, 0
+    for b, n in sizes:
+        held += n
+        if held > limit:
+            break
+        least = b
+    if least is None:
+        return {}
+    return {r["key"]: r["c"] for r in counts.where(bucket >= least).select("key", "c").collect()}
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
