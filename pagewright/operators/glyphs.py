@@ -9,12 +9,10 @@ differs; rows with equal doc_id share pages, as their glyphs are told apart by n
 from __future__ import annotations
 
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import ship
 from .ordered import joined, upper_median
 
 LINES, COLUMNS = 50, 96
@@ -59,68 +57,20 @@ def line_height(glyphs: DataFrame, page_height: float = PAGE_HEIGHT) -> DataFram
 
 
 def assign_lines(glyphs: DataFrame) -> DataFrame:
-    """Adds ``line_no``: visual lines of each page.
+    """Adds ``line_no``: visual lines of each page. One shuffle by page; see ``paged`` for pages that are rows already.
 
     Glyphs in order of (centre height, left edge) begin a line where they leave the band of the line's first glyph,
     which a comparison with the last glyph could not tell; and where the gap to the last glyph is a column gutter. A
-    gutter does not move the band. Pages are dealt and sorted by Spark; the scan keeps a few numbers, so pages may
-    reach over batches.
+    gutter does not move the band.
     """
-    ship(glyphs.sparkSession)
-    width = glyphs.groupBy(*PAGE).agg(F.greatest(upper_median(F.col("w")), F.lit(0.5)).alias("__tol"))
-    centered = glyphs.join(width, PAGE).withColumn("__cy", F.col("y") + F.col("h") / 2)
-    dealt = centered.repartition(*PAGE).sortWithinPartitions(*PAGE, "__cy", "x", "glyph_no")
-    places = [dealt.columns.index(c) for c in (*PAGE, "__cy", "x", "w", "__tol")]
-    keep = [dealt.columns.index(c) for c in glyphs.columns]
-    schema = glyphs.withColumn("line_no", F.lit(0)).schema
-
-    def scan(batches):
-        page = band = end = None
-        line = 0
-        for batch in batches:
-            numbers = []
-            for doc, no, cy, x, w, tolerance in zip(*(batch.column(i).to_pylist() for i in places)):
-                if (doc, no) != page:
-                    page, line, band, end = (doc, no), 0, cy, None
-                elif abs(cy - band) > tolerance:
-                    line, band, end = line + 1, cy, None
-                if end is not None and x - end > max(2 * w, 12.0):
-                    line += 1
-                numbers.append(line)
-                end = x + w
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(numbers, pa.int32())], names=schema.names)
-
-    return dealt.mapInArrow(scan, schema)
-
-
-def with_gaps(lined: DataFrame) -> DataFrame:
-    """Adds ``gap``: whether a glyph stands further from the one before it than a quarter of its own width."""
-    before = Window.partitionBy(*LINE).orderBy("x", "glyph_no")
-    return lined.withColumn("gap", F.coalesce(F.col("x") - F.lag(F.col("x") + F.col("w")).over(before) > F.col("w") * 0.25, F.lit(False)))
-
-
-def line_texts(lined: DataFrame) -> DataFrame:
-    """One row for each line that has text: bounds and text with spaces in the gaps."""
-    piece = F.concat(F.when(F.col("gap"), " ").otherwise(""), F.col("ch"))
-    rows = with_gaps(lined).withColumn("piece", piece).groupBy(*LINE).agg(
-        F.min("x").alias("x0"), F.min("y").alias("y0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max(F.col("y") + F.col("h")).alias("y1"), joined("piece", ["x", "glyph_no"], "").alias("text")
-    )
-    return rows.withColumn("text", T.trim("text")).where("text <> ''")
-
-
-def words(lined: DataFrame) -> DataFrame:
-    """Words of each line: word_no, bounds, text. White-space glyphs part words by the gap that they leave."""
-    inked = with_gaps(lined.where(~F.rlike("ch", F.lit(r"(?U)^\s$"))))
-    run = Window.partitionBy(*LINE).orderBy("x", "glyph_no").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = inked.withColumn("word_no", F.sum(F.col("gap").cast("int")).over(run).cast("int"))
-    return numbered.groupBy(*LINE, "word_no").agg(
-        F.min("x").alias("x0"), F.min("y").alias("y0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max(F.col("y") + F.col("h")).alias("y1"), joined("ch", ["x", "glyph_no"], "").alias("text")
-    )
-
-
-def page_text(lined: DataFrame) -> DataFrame:
-    """Visual order of each page, line by line."""
-    return line_texts(lined).groupBy(*PAGE).agg(joined("text", ["line_no"], "\n").alias("text"))
+    from . import paged as PG
+
+    return PG.lined_glyphs(PG.paged(glyphs)).select(*[F.col(f"`{c}`") for c in glyphs.columns], "line_no")
+
+
+def page_text(lines: DataFrame) -> DataFrame:
+    """Visual order of each page, line by line, from rows of lines."""
+    return lines.groupBy(*PAGE).agg(joined("text", ["line_no"], "\n").alias("text"))
 
 
 def code_blocks(glyphs: DataFrame) -> DataFrame:

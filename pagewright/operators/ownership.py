@@ -141,10 +141,9 @@ def table_claims(tables: DataFrame, regions: DataFrame, threshold: float = 0.5)
     return anchored.unionByName(trailing.select("*", F.lit(None).cast("int").alias("region_no"), F.lit(False).alias("anchor")))
 
 
-def region_texts(lined: DataFrame, owners: DataFrame, texts: DataFrame) -> DataFrame:
-    """Text of each region: its lines from top to bottom. ``texts`` has a line's bounds and text."""
-    rows = texts.join(owners.select(*LINE, "region_no"), LINE)
-    return rows.groupBy(*PAGE, "region_no").agg(joined("text", ["y0", "line_no"], "\n").alias("text"))
+def region_texts(lines: DataFrame) -> DataFrame:
+    """Text of each region: its lines (bounds, text, ``region_no``) from top to bottom."""
+    return lines.groupBy(*PAGE, "region_no").agg(joined("text", ["y0", "line_no"], "\n").alias("text"))
 
 
 __all__ = ["best_of", "by_page", "claim_ranks", "embedded_match", "first_claims", "glyph_owners", "line_owners", "nearest_captions", "reading_order", "region_texts", "seams", "table_claims"]

@@ -15,6 +15,7 @@ from ..functions import text as T
 from ..session import ship
 from . import glyphs as GL
 from . import ownership as OW
+from . import paged as PG
 from .ordered import joined
 
 #: Ordinals of what follows a page's regions: lines that no region adopts, then tables without a region.
@@ -72,17 +73,15 @@ def region_blocks(regions: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select(*GL.PAGE, F.col("region_no").alias("ord"), block(F.col("label"), F.col("text"), **extra).alias("md")).where("md is not null")
 
 
-def structured_pages(glyphs: DataFrame, regions: DataFrame, scale: float = 1.0, tables: DataFrame | None = None) -> DataFrame:
-    """doc_id, page_no, md of pages from top-down glyphs and layout regions.
+def structured_pages(pages: DataFrame, regions: DataFrame, scale: float = 1.0, tables: DataFrame | None = None, height: float | None = None) -> DataFrame:
+    """doc_id, page_no, md of pages (rows with ``glyphs``) from layout regions. ``height``: flip to top-down.
 
-    Lines are clustered once among owned and once among unowned glyphs; lines that a padded region adopts are not
-    repeated, the homeless follow the regions. ``tables`` (doc_id, page_no, table_no, md) go to the end.
+    Lines are clustered once among owned and once among unowned glyphs, in one pass; lines that a padded region adopts
+    are not repeated, the homeless follow the regions. ``tables`` (doc_id, page_no, table_no, md) go to the end.
     """
-    owned = OW.glyph_owners(glyphs, regions, scale)
-    inside = GL.assign_lines(owned.where("owner is not null"))
-    texts = OW.region_texts(inside, OW.line_owners(inside, regions), GL.line_texts(inside))
-    outside = GL.line_texts(GL.assign_lines(owned.where("owner is null").drop("owner")))
-    homeless = OW.seams(outside, regions, scale).where("region_no is null").select(*GL.PAGE, (F.col("line_no") + HOMELESS).alias("ord"), F.col("text").alias("md"))
+    lines = PG.region_lines(PG.with_regions(pages, regions), scale, height)
+    texts = OW.region_texts(lines.where("not free"))
+    homeless = OW.seams(lines.where("free").drop("region_no"), regions, scale).where("region_no is null").select(*GL.PAGE, (F.col("line_no") + HOMELESS).alias("ord"), F.col("text").alias("md"))
     blocks = region_blocks(regions, texts).unionByName(homeless)
     if tables is not None:
         blocks = blocks.unionByName(tables.select(*GL.PAGE, (F.col("table_no") + TRAILING).alias("ord"), "md"))

@@ -51,17 +51,19 @@ class Converter:
         that come out blank, keep their own text.
         """
         from .operators import glyphs as GL
+        from .operators import paged as PG
 
         c = self.config
         signals = pages.join(GL.page_signals(glyphs), GL.PAGE, "left").fillna(0, ["n_math", "n_chars"])
         way = P.route(F.col("n_math"), F.col("n_chars"), F.coalesce("n_images", F.lit(0)), c.routing_mode, c.use_onnx, c.math_char_threshold, c.scanned_text_threshold)
         routed = signals.withColumn("route", way)
-        visual = GL.page_text(GL.assign_lines(GL.top_down(glyphs)))
+        whole = PG.paged(glyphs)
+        visual = GL.page_text(PG.line_rows(whole, GL.PAGE_HEIGHT))
         own = F.col("text") if c.preserve_layout else P.fast_text(F.col("page_md"), F.col("text"))
         fast = routed.join(visual, GL.PAGE, "left").select(*GL.PAGE, "route", F.coalesce(own, F.lit("")).alias("fast_md"))
         if regions is not None:
             wanted = routed.where("route = 'full'").select(*GL.PAGE)
-            full = P.structured_pages(GL.top_down(glyphs.join(wanted, GL.PAGE, "left_semi")), regions.join(wanted, GL.PAGE, "left_semi"), c.render_dpi / 72)
+            full = P.structured_pages(whole.join(wanted, GL.PAGE, "left_semi"), regions.join(wanted, GL.PAGE, "left_semi"), c.render_dpi / 72, height=GL.PAGE_HEIGHT)
             fast = fast.join(full.withColumnRenamed("md", "full_md"), GL.PAGE, "left")
         else:
             fast = fast.withColumn("full_md", F.lit(None).cast("string"))

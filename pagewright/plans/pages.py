@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import glyphs as GL
 from ..operators import ordered as OR
 from ..operators import ownership as OW
+from ..operators import paged as PG
 from ..operators import suppress as SU
 from . import sql as Q
 from .inputs import BOXES_SQL, REGIONS_SQL, boxes, glyphs, regions
@@ -19,8 +20,8 @@ IS_MATH = f"(regexp_matches(lower(font), 'cmmi|cmsy|cmex|msam|msbm|math|symbol|m
 LINED_SQL = f"{Q.GLYPHS}, lined AS (SELECT doc_id, page_no, glyph_no, ch, x, 792.0 - y - h AS y, w, h, font, (dense_rank() OVER (PARTITION BY doc_id, page_no ORDER BY 792.0 - y - h) - 1)::INT AS line_no FROM glyphs)"
 
 
-def _lined(spark, d):
-    return GL.assign_lines(GL.top_down(glyphs(spark, d)))
+def _pages(spark, d):
+    return PG.pages_of_text(table(spark, d, "documents").select("doc_id", "text"))
 
 
 @query(f"WITH {Q.GLYPHS} SELECT doc_id, page_no, count(*) AS n, min(x) AS x0, min(y) AS y0, max(x + w) AS x1, max(y + h) AS y1, sum(unicode(ch))::BIGINT AS codes FROM glyphs GROUP BY ALL")
@@ -63,14 +64,14 @@ words AS (SELECT *, sum(gap::INT) OVER (PARTITION BY doc_id, page_no, line_no OR
 SELECT doc_id, page_no, line_no, count(DISTINCT word_no)::INT AS n_words, min(x) AS x0, max(x + w) AS x1, max(y + h) AS y1 FROM words GROUP BY ALL""")
 def word_segmentation(spark, d):
     """Words and bounds of every line."""
-    return GL.words(_lined(spark, d)).groupBy(*GL.LINE).agg(F.count(F.lit(1)).cast("int").alias("n_words"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    return PG.word_rows(_pages(spark, d), GL.PAGE_HEIGHT).groupBy(*GL.LINE).agg(F.count(F.lit(1)).cast("int").alias("n_words"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
 @query(f"""WITH {LINED_SQL}, l AS (SELECT doc_id, page_no, line_no, {Q.trim("string_agg(ch, '' ORDER BY x, glyph_no)")} AS text FROM lined GROUP BY ALL)
 SELECT doc_id, page_no, count(*)::INT AS n_lines, sha256(string_agg(text, chr(10) ORDER BY line_no)) AS text_sha256 FROM l WHERE text <> '' GROUP BY ALL""")
 def cluster_lines(spark, d):
     """Visual lines of every page and their text in visual order."""
-    texts = GL.line_texts(_lined(spark, d))
+    texts = PG.line_rows(_pages(spark, d), GL.PAGE_HEIGHT)
     return texts.groupBy(*GL.PAGE).agg(F.count(F.lit(1)).cast("int").alias("n_lines"), F.sha2(OR.joined("text", ["line_no"], "\n"), 256).alias("text_sha256"))
 
 
@@ -98,9 +99,9 @@ owned AS (SELECT lined.*, owner FROM lined LEFT JOIN owner USING (doc_id, page_n
 
 
 def _owned(spark, d):
-    lined = _lined(spark, d)
-    boxes_of = regions(lined)
-    return OW.glyph_owners(lined, boxes_of), boxes_of
+    pages = _pages(spark, d)
+    boxes_of = regions(pages)
+    return PG.owned_glyphs(PG.with_regions(pages, boxes_of), height=GL.PAGE_HEIGHT), boxes_of
 
 
 @query(f"WITH {OWNED_SQL} SELECT doc_id, page_no, owner, count(*) AS n, sum(glyph_no)::BIGINT AS glyphs FROM owned GROUP BY ALL")
@@ -253,9 +254,8 @@ def page_assembly(spark, d):
     """Whole pages from glyphs and regions, joined to documents: ownership, blocks by kind, homeless lines."""
     from ..operators.pages import documents_of, structured_pages
 
-    lined = GL.top_down(glyphs(spark, d))
-    pages = structured_pages(lined, regions(lined))
-    docs = documents_of(pages)
+    pages = _pages(spark, d)
+    docs = documents_of(structured_pages(pages, regions(pages), height=GL.PAGE_HEIGHT))
     return docs.select("doc_id", "n_pages", F.sha2("md", 256).alias("md_sha256"))
 
 
@@ -277,8 +277,7 @@ def image_interleave(spark, d):
     """Two images on each page of text, linked before the lines that follow them."""
     from ..operators.pages import place_page_images
 
-    lined = _lined(spark, d)
-    lines = GL.line_texts(lined)
+    lines = PG.line_rows(_pages(spark, d), GL.PAGE_HEIGHT)
     pages = lines.groupBy(*GL.PAGE).agg(OR.joined("text", ["line_no"], "\n").alias("md"))
     k = F.col("img_no")
     rasters = pages.select(*GL.PAGE, F.explode(F.sequence(F.lit(0), F.lit(1))).alias("img_no")).select(*GL.PAGE, F.lit(50.0).alias("x0"), (100.0 + 60 * k).alias("y0"), F.lit(90.0).alias("x1"), (130.0 + 60 * k).alias("y1"), F.format_string("p%d/img%d.png", "page_no", k).alias("src"))
