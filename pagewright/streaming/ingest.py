@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
@@ -17,12 +17,20 @@ from ..functions import text as T
 from ..pipeline import Converter
 
 
-def read_folder(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """path, content, n_bytes, modified of supported files below a folder, as a stream."""
+def plain_path(path) -> Column:
+    """A path without its scheme and authority, so that one folder compares alike however it is written."""
+    return F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)", "")
+
+
+def read_folder(spark: SparkSession, folder: str, files_per_batch: int = 1000, without: tuple[str, ...] = ()) -> DataFrame:
+    """path, content, n_bytes, modified of supported files below a folder, as a stream. What lies below a folder of
+    ``without``, as the stream's own output may, is left out."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     stream = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(folder)
     ext = T.extension(F.col("path"))
     wanted = T.is_supported(ext) | ext.isin("xml", "jats")
+    for other in without:
+        wanted = wanted & ~F.startswith(plain_path(F.col("path")), F.concat(F.rtrim(plain_path(F.lit(other)), F.lit("/")), F.lit("/")))
     return stream.where(wanted).select("path", "content", F.col("length").alias("n_bytes"), F.col("modificationTime").alias("modified"))
 
 
@@ -30,16 +38,18 @@ def ingest_folder(converter: Converter, folder: str, table: str, checkpoint: str
     """Start a query that converts new files and appends them to ``table``, each batch under its own partition.
 
     A batch that is run again after a failure replaces its partition, so its rows are there once. ``on_batch`` gets
-    the batch's number and its documents. ``once``: take what is there and end.
+    the batch's number and how many documents it wrote; a batch of files that are not supported writes nothing and tells
+    nothing. The table and the checkpoint may lie in the folder: they are not read. ``once``: take what is there and end.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        docs = converter.convert_files(batch).withColumn("batch", F.lit(number))
+        counted = Observation(f"batch-{number}")
+        docs = converter.convert_files(batch).withColumn("batch", F.lit(number)).observe(counted, F.count(F.lit(1)).alias("n"))
         docs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
-        if on_batch is not None:
-            on_batch(number, batch.sparkSession.read.parquet(f"{table}/batch={number}").count())
+        if on_batch is not None and counted.get["n"]:
+            on_batch(number, counted.get["n"])
 
-    writer = read_folder(converter.spark, folder, files_per_batch).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = read_folder(converter.spark, folder, files_per_batch, (table, checkpoint)).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
 
 

@@ -113,6 +113,20 @@ def test_stream(spark, folder, tmp_path):
     assert spark.read.parquet(str(tmp_path / "table")).count() == first + 1
 
 
+def test_stream_of_unsupported_files(spark, tmp_path):
+    """A batch without a supported file ends, also when it runs again; the table and checkpoint may lie in the folder."""
+    (tmp_path / "a.zzz").write_text("x")
+    told = []
+    run = lambda: ingest.ingest_folder(pipeline.Converter(spark), f"file://{tmp_path}", str(tmp_path / "out/table"), str(tmp_path / "out/state"), 4, lambda n, rows: told.append(rows)).awaitTermination(120)
+    run()
+    run()
+    assert told == []
+    (tmp_path / "b.txt").write_text("text")
+    run()
+    run()
+    assert told == [1] and spark.read.parquet(str(tmp_path / "out/table")).count() == 1
+
+
 def test_recognizers(spark):
     def factory():
         def run(values):
