@@ -1,10 +1,13 @@
 """Quality rules with host verdicts, in DataFrame functions only.
 
-Per document: word and repetition features of the whole text, a base rule, and soft rules. Per host: the share of its
-documents that fail any rule, shrunk towards the corpus by a beta prior whose moments are those of the hosts' rates.
-A host whose shrunk rate reaches ``REJECT`` loses all documents; one that reaches ``SUSPECT`` loses those that fail a
-soft rule; elsewhere soft failures are forgiven. Verdicts are joined back by host: broadcast if there are at most
-``MAX_HOSTS`` bad hosts, else by a sort-merge join whose hot hosts adaptive execution splits.
+Per document: word and repetition features of the whole text, a base rule, and soft rules, of which ``excess`` tells how
+many times over the worst is. Per host: the share of its documents that fail any rule, shrunk towards the corpus by a
+beta prior. The prior is fitted to the hosts' counts by weighted moments: its mean is the corpus' share, and what the
+hosts vary beyond the binomial noise of their sizes gives its strength. Verdicts are relative to it: a host whose shrunk
+rate reaches halfway from the prior's mean to 1 loses all documents; of other hosts a document goes whose excess is over
+``TOLERANCE`` times the prior's mean over the host's rate, so a soft failure is forgiven up to twice its limit on a host
+like all others, not at all on one of twice that rate, and further on a cleaner one. Verdicts are joined back by host:
+broadcast if there are at most ``MAX_HOSTS``, else by a sort-merge join whose hot hosts adaptive execution splits.
 
 Windows of eight words are compared inside the row, by hash and then by word, so no word leaves its task.
 
@@ -19,12 +22,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW, REJECT, SUSPECT, MAX_HOSTS = 8, 0.5, 0.3, 200_000
+WINDOW, TOLERANCE, MAX_HOSTS = 8, 2.0, 200_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def with_features(rows: DataFrame) -> DataFrame:
-    """Adds the counts, ``base_failed`` and ``soft_failed`` to rows that have ``__text``; drops ``__text``."""
+    """Adds the counts, ``base_failed`` and ``excess`` to rows that have ``__text``; drops ``__text``."""
     at = F.col
     rows = rows.withColumn("__text", F.coalesce("__text", F.lit(""))).withColumn("__words", common.ascii_words(at("__text")))
     has_word = lambda line: F.length(F.translate(line, common.WS, "")) > 0
@@ -59,29 +62,32 @@ def with_features(rows: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("__words", "__wins", "__by_hash", "__places")
     base = (at("n_words") < 20) | (100 * at("n_repeat_words") > 30 * at("n_words"))
-    soft = (at("word_chars") < 3 * at("n_words")) | (at("word_chars") > 12 * at("n_words")) | (10 * at("n_symbols") > at("n_words")) | (10 * at("n_dup_lines") > 3 * at("__n_lines"))
-    return rows.withColumn("base_failed", base).withColumn("soft_failed", soft).drop("__n_lines")
+    over = lambda value, limit: F.coalesce(value / F.when(limit > 0, limit), F.lit(0.0))
+    excess = F.greatest(over(3 * at("n_words"), at("word_chars")), over(at("word_chars"), 12 * at("n_words")), over(10 * at("n_symbols"), at("n_words")), over(10 * at("n_dup_lines"), 3 * at("__n_lines")))
+    return rows.withColumn("base_failed", base).withColumn("excess", excess).drop("__n_lines")
 
 
-def bad_hosts(features: DataFrame) -> DataFrame:
-    """``__host``, ``__rejected`` for hosts that reach ``SUSPECT``. Moments of the hosts' rates are one row."""
-    hosts = features.groupBy("__host").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("base_failed") | F.col("soft_failed")).alias("f"))
+def host_verdicts(features: DataFrame) -> DataFrame:
+    """``__host``, ``__rejected`` and ``__tolerance`` of every host. The prior comes from one row of sums."""
+    hosts = features.groupBy("__host").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("base_failed") | (F.col("excess") > 1)).alias("f"))
     hosts = common.materialize(hosts, "hosts")
-    mean, var = hosts.agg(F.avg(F.col("f") / F.col("n")), F.var_pop(F.col("f") / F.col("n"))).first()
-    if mean is None:
-        return hosts.select("__host", F.lit(False).alias("__rejected")).limit(0)
-    strength = min(max(mean * (1 - mean) / var - 1, 1.0), 1e6) if var > 1e-12 else 1e6
-    rate = (F.col("f") + mean * strength) / (F.col("n") + strength)
-    return hosts.where(rate >= SUSPECT).select("__host", (rate >= REJECT).alias("__rejected"))
+    c = F.col
+    n, f, size, squares, h = hosts.agg(F.sum("n"), F.sum("f"), F.sum(c("f") * c("f") / c("n")), F.sum((c("n") * c("n")).cast("double")), F.count(F.lit(1))).first()
+    mean, strength = (f / n if n else 0.0), 1e6
+    spread = (n or 0) - (squares or 0.0) / (n or 1) - (h - 1)
+    if 0 < mean < 1 and spread > 0:
+        scatter = (size - n * mean * mean) / (mean * (1 - mean))
+        strength = 1 / min(max((scatter - (h - 1)) / spread, 1e-6), 0.5) - 1
+    rate = (c("f") + mean * strength) / (c("n") + strength)
+    return hosts.select("__host", (rate >= (1 + mean) / 2).alias("__rejected"), F.greatest(F.lit(1.0), TOLERANCE * mean / F.when(rate > 0, rate)).alias("__tolerance"))
 
 
 def with_verdict(features: DataFrame) -> DataFrame:
     """Adds ``kept`` to rows with ``__host`` and the rule columns (written rows: they are read twice)."""
-    bad = bad_hosts(features)
-    bad = F.broadcast(bad) if common.bounded(bad, MAX_HOSTS) else bad
-    rows = features.join(bad, features["__host"].eqNullSafe(bad["__host"]), "left").drop(bad["__host"])
-    host_fails = F.when(F.col("__rejected").isNull(), F.lit(False)).otherwise(F.col("__rejected") | F.col("soft_failed"))
-    return rows.withColumn("kept", ~F.col("base_failed") & ~host_fails)
+    hosts = host_verdicts(features)
+    hosts = F.broadcast(hosts) if common.bounded(hosts, MAX_HOSTS) else hosts
+    rows = features.join(hosts, features["__host"].eqNullSafe(hosts["__host"]), "left").drop(hosts["__host"])
+    return rows.withColumn("kept", ~F.col("base_failed") & ~F.col("__rejected") & (F.col("excess") <= F.col("__tolerance")))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -110,12 +116,12 @@ f AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(rege
   CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN rep USING (r)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-  word_chars < 3 * n_words OR word_chars > 12 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines AS soft_failed FROM f),
-h AS (SELECT source, count(*) AS n, count_if(base_failed OR soft_failed) AS f FROM b GROUP BY source),
-m AS (SELECT avg(f / n) AS mean, var_pop(f / n) AS var FROM h),
-s AS (SELECT mean, CASE WHEN var > 1e-12 THEN least(greatest(mean * (1 - mean) / var - 1, 1), 1e6) ELSE 1e6 END AS s FROM m),
-v AS (SELECT source, (f + mean * s) / (n + s) AS rate FROM h, s)
+  greatest(coalesce(3 * n_words / nullif(word_chars, 0), 0), coalesce(word_chars / nullif(12 * n_words, 0), 0), coalesce(10 * n_symbols / nullif(n_words, 0), 0), coalesce(10 * n_dup_lines / nullif(3 * n_lines, 0), 0)) AS excess FROM f),
+h AS (SELECT source, count(*) AS n, count_if(base_failed OR excess > 1) AS f FROM b GROUP BY source),
+t AS (SELECT sum(n)::DOUBLE AS n, sum(f) / sum(n) AS m, sum(f * f / n) AS size, sum((n * n)::DOUBLE) AS squares, count(*) - 1 AS d FROM h),
+p AS (SELECT m, CASE WHEN m > 0 AND m < 1 AND n - squares / n - d > 0 THEN 1 / least(greatest(((size - n * m * m) / (m * (1 - m)) - d) / (n - squares / n - d), 1e-6), 0.5) - 1 ELSE 1e6 END AS s FROM t),
+v AS (SELECT source, m, (f + m * s) / (n + s) AS rate FROM h, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (rate >= 0.5 OR (rate >= 0.3 AND soft_failed)) AS kept
+  NOT base_failed AND rate < (1 + m) / 2 AND excess <= greatest(1.0, 2.0 * m / nullif(rate, 0)) AS kept
 FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
 """
