@@ -27,22 +27,42 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MIN_BYTES, MAX_GROUPS, ARCHIVE_BYTES, READ_BYTES = 1000, 200_000, 1 << 30, 8 << 20
+MIN_BYTES, MAX_GROUPS, ARCHIVE_BYTES, READ_BYTES, TASK_BYTES = 1000, 200_000, 1 << 30, 8 << 20, 128 << 20
 INDEX = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("record_type", pa.string())])
 INDEX_DDL = "file string, offset long, length long, url string, digest string, record_type string"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CLEAN = {i: f"%{i:02X}" for i in [*range(32), 127]}
 
 
-def record(page_id, url: str | None, payload: bytes, size: int, digest: str, refers_to, date: str) -> bytes:
+def record_id(page_id, digest: str) -> str:
+    """The same on every run, so that a revisit can tell the record that it refers to."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id} {digest}')}>"
+
+
+def target(name: str, url: str | None) -> list[str]:
+    """A header of a URL; where control characters had to be escaped, one more has its bytes as they are."""
+    clean = url and url.translate(CLEAN)
+    return [] if url is None else [f"{name}: {clean}", *([] if clean == url else [f"X-{name}-Base64: {base64.b64encode(url.encode()).decode()}"])]
+
+
+def info(date: str) -> bytes:
+    """The record that opens an archive."""
+    body = b"software: pagewright\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def record(page_id, url: str | None, payload: bytes, size: int, digest: str, refers_to, refers_url: str | None, date: str) -> bytes:
     """One record, uncompressed. A revisit (``refers_to``) has the HTTP head only, which tells the payload's length."""
     b32 = base64.b32encode(bytes.fromhex(digest)).decode()
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-    block = head if refers_to is not None else head + payload
+    block, refers = head + payload, []
+    if refers_to is not None:
+        block = head
+        refers = [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", *target("WARC-Refers-To-Target-URI", refers_url), f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page-ID: {refers_to}"]
     lines = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}",
-        *([] if url is None else [f"WARC-Target-URI: {url.translate(CLEAN)}"]), *([] if page_id is None else [f"X-Page-ID: {page_id}"]),
-        f"WARC-Payload-Digest: sha1:{b32}", *([] if refers_to is None else [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page-ID: {refers_to}"]),
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest) if refers_to is None else f'<urn:uuid:{uuid.uuid4()}>'}", f"WARC-Date: {date}",
+        *target("WARC-Target-URI", url), *([] if page_id is None else [f"X-Page-ID: {page_id}"]), f"WARC-Payload-Digest: sha1:{b32}", *refers,
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -59,15 +79,15 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes, bytes]:
 
 
 def tagged(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """page_id, url, payload (null for revisits), size, digest, refers_to."""
+    """page_id, url, payload (null for revisits), size, digest, refers_to, refers_url."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
-    large = rows.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.count(F.lit(1)).alias("c"), F.max("page_id").alias("largest"))
+    large = rows.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.count(F.lit(1)).alias("c"), F.max("page_id").alias("largest"), F.max_by("url", "page_id").alias("largest_url"))
     groups = common.materialize(large.where("c > 1 and largest is not null").drop("c"), "equal-payloads")
     groups = F.broadcast(groups) if common.bounded(groups, MAX_GROUPS) else groups
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("largest")), F.col("largest"))
-    rows = rows.join(groups, ["digest", "size"], "left").withColumn("refers_to", refers).drop("largest")
-    return rows.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "size", "digest", "refers_to")
+    rows = rows.join(groups, ["digest", "size"], "left").withColumn("refers_to", refers)
+    return rows.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "size", "digest", "refers_to", F.when(F.col("refers_to").isNotNull(), F.col("largest_url")).alias("refers_url"))
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, date: str = "2000-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -83,9 +103,12 @@ def write_archives(pages: DataFrame, folder: str | None = None, date: str = "200
             for at in range(0, batch.num_rows, 200):
                 for r in batch.slice(at, 200).to_pylist():
                     if out is None:
-                        path, offset = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0
+                        path = f"{folder}/{uuid.uuid4().hex}.warc.gz"
                         out = common.open_output(path)
-                    member = gzip.compress(record(r["page_id"], r["url"], r["payload"] or b"", r["size"], r["digest"], r["refers_to"], date), 6, mtime=0)
+                        first = gzip.compress(info(date), 6, mtime=0)
+                        out.write(first)
+                        offset = len(first)
+                    member = gzip.compress(record(r["page_id"], r["url"], r["payload"] or b"", r["size"], r["digest"], r["refers_to"], r["refers_url"], date), 6, mtime=0)
                     out.write(member)
                     index.append((path, offset, len(member), r["url"], r["digest"], "response" if r["refers_to"] is None else "revisit"))
                     offset += len(member)
@@ -114,9 +137,15 @@ def ranges(entries, limit: int):
         yield tuple(run)
 
 
-def read_records(index: DataFrame, read_bytes: int = READ_BYTES) -> DataFrame:
-    """The selected records: page_id, url, payload_bytes, payload_digest (hex), record_type, refers_to, payload."""
+def read_records(index: DataFrame, read_bytes: int = READ_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """The selected records: page_id, url, payload_bytes, payload_digest (hex), record_type, refers_to, payload.
+
+    The index is small beside the archives, so readers are dealt by the bytes of the archives: one for each
+    ``task_bytes``, and as many as there are shuffle partitions at least.
+    """
     common.ship(index.sparkSession)
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(common.shuffle_parts(index.sparkSession), -(-total // task_bytes))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
     def read(batches):
@@ -136,10 +165,12 @@ def read_records(index: DataFrame, read_bytes: int = READ_BYTES) -> DataFrame:
                     elif hashlib.sha1(payload).hexdigest() != told:
                         raise ValueError("a payload does not have the digest that its record tells")
                     page, refers = headers.get("x-page-id"), headers.get("x-refers-to-page-id")
-                    rows.append((page and int(page), headers.get("warc-target-uri"), size, told, kind, refers and int(refers), payload))
+                    url = headers.get("x-warc-target-uri-base64")
+                    url = headers.get("warc-target-uri") if url is None else base64.b64decode(url).decode()
+                    rows.append((page and int(page), url, size, told, kind, refers and int(refers), payload))
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x)) for x in rows], schema)
 
-    dealt = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    dealt = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
