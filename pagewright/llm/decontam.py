@@ -6,9 +6,11 @@ one necessary prefix token, its rarest shingle over the whole corpus, is enough
 token at word p of a document fixes where the window would begin (positional bound) and that it must end inside the
 document (length bound); the words there are then compared one by one.
 
-The index of windows is broadcast in blocks of at most ``BLOCK_WORDS`` benchmark words, so its size is bounded whatever
-the size of the benchmark: each further block is one more narrow pass over the documents that carries the hits along.
-No document word is ever shuffled; the corpus counts of shingles are summed per task first.
+The index of windows is broadcast in blocks of at most ``BLOCK_WORDS`` benchmark words. Each further block is one more
+pass over the documents that carries the hits along, and what it found is written before the next begins, so one block's
+index at a time is in a worker whatever the size of the benchmark. Windows that share a prefix token, its place and
+their length are one set, so a token's occurrence costs a lookup for each place and length. No document word is ever
+shuffled; the corpus counts of shingles are summed per task first.
 
 Nulls: a null text has no words and is never hit; a null item text gives no window; windows of an item with a null
 identifier hit words but the identifier is listed nowhere. Repeated items count once, repeated documents each.
@@ -87,15 +89,15 @@ def shingle_counts(docs: DataFrame, text_col: str, wanted) -> dict[bytes, int]:
     return {bytes(s): n for s, n in rows.groupBy("s").agg(F.sum("n").alias("n")).collect()}
 
 
-def make_index(block: dict, counts: dict[bytes, int]) -> dict[bytes, list]:
-    """From the necessary prefix token of each window to (offset in the window, window, item ids)."""
-    index = defaultdict(list)
+def make_index(block: dict, counts: dict[bytes, int]) -> dict[bytes, dict[tuple[int, int], dict]]:
+    """From the necessary prefix token of each window to windows with their item ids, by (offset of it, window length)."""
+    index: dict[bytes, dict] = {}
     for window, items in block.items():
         tokens = shingles_of(window)
         at = min(range(len(tokens)), key=lambda i: (counts.get(tokens[i], 0), tokens[i], i))
         if counts.get(tokens[at], 0):  # a shingle that occurs nowhere: the window occurs nowhere
-            index[tokens[at]].append((at, window, tuple(sorted(items))))
-    return dict(index)
+            index.setdefault(tokens[at], {}).setdefault((at, len(window)), {})[window] = tuple(sorted(items))
+    return index
 
 
 def find_hits(words: list[bytes], index: dict, sizes: list[int], spans: list, items: set) -> None:
@@ -106,11 +108,13 @@ def find_hits(words: list[bytes], index: dict, sizes: list[int], spans: list, it
         if index.keys().isdisjoint(tokens):
             continue
         for p, token in enumerate(tokens):
-            for offset, window, of in index.get(token, ()):
+            for (offset, size), windows in index.get(token, {}).items():
                 start = p - offset
-                if start >= 0 and start + len(window) <= total and tuple(words[start : start + len(window)]) == window:
-                    spans.append((start, start + len(window)))
-                    items.update(of)
+                if start >= 0 and start + size <= total:
+                    of = windows.get(tuple(words[start : start + size]))
+                    if of is not None:
+                        spans.append((start, start + size))
+                        items.update(of)
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -127,35 +131,45 @@ SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = SIZE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` packed as ``__row`` with ``n_words``, ``spans`` (merged word spans that are hit) and ``items`` (sorted).
+    """``docs`` packed as ``__row`` with ``n_words``, ``spans`` (merged word spans that are hit), ``items`` (sorted) and
+    ``rest``, the text without the hit words where there are any.
 
     One pass of corpus counts and one of matching for each block of the benchmark; hits of earlier blocks are merged.
     """
     spark = docs.sparkSession
     common.ship(spark)
-    rows = common.pack(docs, __text=F.col(f"`{text_col}`"), n_words=F.lit(0).cast("long"), spans=F.expr("cast(array() as array<struct<a:int,b:int>>)"), items=F.expr("cast(array() as array<string>)"))
-    found = False
+    at = docs.columns.index(text_col)
+    rows = common.pack(docs, n_words=F.lit(0).cast("long"), spans=F.expr("cast(array() as array<struct<a:int,b:int>>)"), items=F.expr("cast(array() as array<string>)"), rest=F.lit(None).cast("string"))
+    sent = None
     for block in blocks(benchmark, item_col, item_text, size, block_words):
-        found = True
+        if sent is not None:
+            rows = common.materialize(rows, "block-hits")
+            sent.unpersist()
         index = make_index(block, shingle_counts(docs, text_col, {s for w in block for s in shingles_of(w)}))
-        rows = match_block(rows, spark.sparkContext.broadcast(index))
-    return (rows if found else match_block(rows, spark.sparkContext.broadcast({}))).drop("__text")
+        sent = spark.sparkContext.broadcast(index)
+        rows = match_block(rows, sent, at)
+    return rows if sent is not None else match_block(rows, spark.sparkContext.broadcast({}), at)
 
 
-def match_block(rows: DataFrame, sent) -> DataFrame:
+def match_block(rows: DataFrame, sent, at: int) -> DataFrame:
+    """One pass: hits of the block's windows in column ``at`` of the packed rows, merged with those found before."""
+
     def match(batches):
         index = sent.value
         sizes = lengths(index)
         for batch in batches:
-            counts, all_spans, all_items = [], [], []
-            for text, spans, items in zip(batch.column(1), batch.column(3), batch.column(4)):
-                words = words_of(text.as_py())
+            counts, all_spans, all_items, rests = [], [], [], []
+            for text, spans, items in zip(common.field(batch, at), batch.column(2), batch.column(3)):
+                text = text.as_py()
+                words = words_of(text)
                 spans, items = [(s["a"], s["b"]) for s in spans.as_py()], set(items.as_py())
                 find_hits(words, index, sizes, spans, items)
+                spans = merged(spans)
                 counts.append(len(words))
-                all_spans.append([{"a": a, "b": b} for a, b in merged(spans)])
+                all_spans.append([{"a": a, "b": b} for a, b in spans])
                 all_items.append(sorted(items))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(all_spans, SPANS), pa.array(all_items, pa.list_(pa.string()))], names=["__row", "__text", "n_words", "spans", "items"])
+                rests.append(excise(text, spans) if spans else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(all_spans, SPANS), pa.array(all_items, pa.list_(pa.string())), pa.array(rests, pa.string())], names=["__row", "n_words", "spans", "items", "rest"])
 
     return rows.mapInArrow(match, rows.schema)
 
@@ -185,16 +199,12 @@ def excise(text: str, spans: list[tuple[int, int]]) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """``docs`` without contaminated documents; from the others the hit words are cut out. Same columns."""
-    rows = contamination(docs, benchmark, text_col).withColumn("n_hit", n_hit()).where(~is_contaminated()).withColumn("__at", F.col(f"__row.`{text_col}`"))
-
-    @F.pandas_udf("string")
-    def cut_out(texts, spans):
-        return texts.combine(spans, lambda t, s: excise(t, [(x["a"], x["b"]) for x in s]))
-
-    hit, clean = rows.where("n_hit > 0").withColumn("__at", cut_out("__at", "spans")), rows.where("n_hit = 0")
-    both = clean.unionByName(hit)
-    changed = {text_col: F.col("__at")} | ({chars_col: F.when(F.col("n_hit") > 0, F.length("__at").cast("long")).otherwise(F.col(f"__row.`{chars_col}`"))} if chars_col in docs.columns else {})
-    return both.select(*[changed.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
+    rows = contamination(docs, benchmark, text_col).withColumn("n_hit", n_hit()).where(~is_contaminated())
+    hit = F.col("rest").isNotNull()
+    changed = {text_col: F.when(hit, F.col("rest")).otherwise(F.col(f"__row.`{text_col}`"))}
+    if chars_col in docs.columns:
+        changed[chars_col] = F.when(hit, F.length("rest").cast(docs.schema[chars_col].dataType)).otherwise(F.col(f"__row.`{chars_col}`"))
+    return rows.select(*[changed.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
