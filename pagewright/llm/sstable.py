@@ -3,11 +3,13 @@
 A shard file is: data blocks, block index, Bloom filter, footer. A block holds entries ``shared length, rest length,
 value length, rest of key, value`` (variable-length integers) in key order, compressed with Zstandard and closed by
 its CRC-32. The index has the last key, offset and length of each block; a lookup asks the Bloom filter, searches the
-index by bisection and decodes one block. Keys order null identifiers first, then integers ascending.
+index by bisection and decodes one block. Keys order null identifiers first, then integers ascending, or strings by
+their bytes.
 
-Rows are range-partitioned by identifier (then by a hash of the text, so that no single identifier makes one large
-task) and sorted inside partitions; every task writes its shards under a name of its own attempt, and only the
-manifest rows that Spark commits name the files that count. A lost executor therefore leaves orphans, never gaps.
+Documents are encoded where they are read, and their compressed ids dealt out by ranges of identifiers whose cuts come
+from a sample of identifiers; an identifier that fills more than a range is spread over several by a hash of the text.
+Tasks sort theirs and write shards under a name of their own attempt, and only the manifest rows that Spark commits
+name the files that count. A lost executor therefore leaves orphans, never gaps.
 
 Nulls: a null identifier is a key of its own, a null text encodes like an empty one (just the end id). Repeated rows
 and equal identifiers are kept, next to each other, ordered by a hash of their texts. An empty table gives no shard.
@@ -18,7 +20,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
 import numpy as np
@@ -32,7 +34,7 @@ MAGIC = b"PWSST001"
 FOOTER = struct.Struct("<QQQQQQB7x8s")
 MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long, n_bytes long"
 BLOCK_BYTES, SHARD_BYTES = 1 << 16, 256 << 20
-BLOOM_BITS, BLOOM_HASHES = 10, 7
+BLOOM_BITS, BLOOM_HASHES, PER_PART = 10, 7, 100
 
 
 def varint(n: int) -> bytes:
@@ -55,11 +57,15 @@ def read_varint(data: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def key_of(doc_id: int | None) -> bytes:
+def key_of(doc_id: int | str | None) -> bytes:
+    if isinstance(doc_id, str):
+        return b"\2" + doc_id.encode()
     return b"\0" * 9 if doc_id is None else b"\1" + (doc_id + (1 << 63)).to_bytes(8, "big")
 
 
-def id_of(key: bytes) -> int | None:
+def id_of(key: bytes) -> int | str | None:
+    if key[0] == 2:
+        return key[1:].decode()
     return None if key[0] == 0 else int.from_bytes(key[1:], "big") - (1 << 63)
 
 
@@ -91,7 +97,7 @@ class Writer:
             if key == self.last:
                 shared = len(key)
             else:
-                while key[shared] == self.last[shared]:
+                while shared < len(self.last) and key[shared] == self.last[shared]:
                     shared += 1
         else:
             self.size = 0
@@ -174,7 +180,7 @@ class Reader:
         places = bloom_places([key], len(self.bloom) * 8)[0]
         return all(self.bloom[int(p) >> 3] >> (int(p) & 7) & 1 for p in places)
 
-    def get(self, doc_id: int | None) -> list[np.ndarray]:
+    def get(self, doc_id: int | str | None) -> list[np.ndarray]:
         """The ids of every document of this identifier, without a scan of other blocks than its own."""
         key, found = key_of(doc_id), []
         if not self.may_have(key):
@@ -188,26 +194,57 @@ class Reader:
         return found
 
 
-def id_encoder(tokenizer, width: int):
-    """From a list of strings to the ids of each as bytes, little-endian, ``width`` bytes an id."""
+def id_width(tokenizer_path: str, end_id: int) -> int:
+    return 2 if max(units.library_tokenizer(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
-    def encode(texts: list[str]) -> list[bytes]:
-        ids, bounds = units.encode_units(tokenizer, texts)
-        data, at = ids.astype(f"<u{width}").tobytes(), (bounds * width).tolist()
-        return [data[a:b] for a, b in zip(at, at[1:])]
+
+def range_bounds(docs: DataFrame, id_col: str, parts: int) -> list[bytes]:
+    """Keys that cut the identifiers into ``parts`` ranges of about equal rows, from a sample of identifiers.
+
+    The sample has ``PER_PART`` identifiers a part, so it follows the number of tasks and not that of rows. It only
+    places the cuts; no result depends on it.
+    """
+    ids = docs.select(F.col(f"`{id_col}`").alias("i"))
+    n, wanted = ids.count(), PER_PART * parts
+    if n > 2 * wanted:
+        ids = ids.sample(min(1.0, 1.2 * wanted / n), 42)
+    keys = sorted(key_of(r["i"]) for r in ids.collect())
+    return [keys[len(keys) * k // parts] for k in range(1, parts)] if keys else []
+
+
+def encoder(tokenizer_path: str, end_id: int, width: int, bounds):
+    """From ``doc_id, text, hash`` to ``part, key, hash, ids`` (compressed), whatever the order of rows."""
+
+    def encode(batches):
+        import zstandard
+
+        library, cuts, pack = units.Library(tokenizer_path), bounds.value, zstandard.ZstdCompressor(level=1).compress
+        end = end_id.to_bytes(width, "little")
+        for batch in batches:
+            keys, hashes = list(map(key_of, batch.column(0).to_pylist())), batch.column(2).to_pylist()
+            for first, texts in common.text_parts(batch.column(1), 2 * common.PART_BYTES):
+                lists = library.encode(texts)
+                data, ends = lists.flat.astype(f"<u{width}").tobytes(), np.cumsum(lists.lengths) * width
+                starts = ends - lists.lengths * width
+                ids = [pack(data[a:b] + end) for a, b in zip(starts.tolist(), ends.tolist())]
+                here, of = keys[first : first + len(texts)], hashes[first : first + len(texts)]
+                # an identifier that fills whole ranges is spread over them by hash, in order
+                low = [bisect_left(cuts, k) for k in here]
+                high = [bisect_right(cuts, k) for k in here]
+                part = [a + ((h + (1 << 63)) * (b - a + 1) >> 64) if b > a else a for a, b, h in zip(low, high, of)]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(here, pa.binary()), pa.array(of, pa.int64()), pa.array(ids, pa.binary())], names=["part", "key", "hash", "ids"])
+        del library
+        common.give_back()
 
     return encode
 
 
-def shard_writer(tokenizer_path: str, folder: str, end_id: int, shard_bytes: int):
+def shard_writer(folder: str, width: int, shard_bytes: int):
     def write(batches):
+        import zstandard
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        tokenizer = units.kept(("tokenizer", tokenizer_path), lambda: units.library_tokenizer(tokenizer_path))
-        width = 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        cache = units.kept(("ids", tokenizer_path, width), lambda: units.UnitCache(id_encoder(tokenizer, width)))
-        encode, end = cache.encode, end_id.to_bytes(width, "little")
+        part, unpack = TaskContext.get().partitionId(), zstandard.ZstdDecompressor().decompress
         rows, out, path = [], None, ""
 
         def close():
@@ -215,20 +252,14 @@ def shard_writer(tokenizer_path: str, folder: str, end_id: int, shard_bytes: int
             rows.append((part, len(rows), path, out.n_docs, out.n_tokens, n))
 
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            texts = batch.column(1)
-            for at in range(0, len(ids), 500):
-                cuts = [units.cut(t or "") for t in texts.slice(at, 500).to_pylist()]
-                cache.fill([rest for _, rest in cuts])
-                firsts = encode([first for first, _ in cuts])
-                for doc_id, first, (_, rest) in zip(ids[at : at + 500], firsts, cuts):
-                    if out is None:
-                        path = f"{folder}/shard-{part:06d}-{len(rows):04d}-{uuid.uuid4().hex}.sst"
-                        out = Writer(common.open_output(path), width)
-                    out.add(key_of(doc_id), first + b"".join(map(cache.__getitem__, rest)) + end)
-                    if out.at >= shard_bytes:
-                        close()
-                        out = None
+            for key, ids in zip(batch.column(0), batch.column(1)):
+                if out is None:
+                    path = f"{folder}/shard-{part:06d}-{len(rows):04d}-{uuid.uuid4().hex}.sst"
+                    out = Writer(common.open_output(path), width)
+                out.add(key.as_py(), unpack(ids.as_py()))
+                if out.at >= shard_bytes:
+                    close()
+                    out = None
         if out is not None:
             close()
         yield pa.RecordBatch.from_pylist([dict(zip(("part", "seq", "path", "n_docs", "n_tokens", "n_bytes"), r)) for r in rows], pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]))
@@ -236,17 +267,21 @@ def shard_writer(tokenizer_path: str, folder: str, end_id: int, shard_bytes: int
     return write
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, folder: str | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, folder: str | None = None, parts: int | None = None) -> DataFrame:
     """Encode every document and write the shards; returns the manifest (one row a shard), already committed."""
     spark = docs.sparkSession
     common.ship(spark)
     folder = folder or f"{common.shared_dir(spark)}/sst-{uuid.uuid4().hex}"
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return common.materialize(dealt.mapInArrow(shard_writer(tokenizer_path, folder, end_id, shard_bytes), MANIFEST), "manifest")
+    parts, width = parts or common.shuffle_parts(spark), id_width(tokenizer_path, end_id)
+    bounds = spark.sparkContext.broadcast(range_bounds(docs, id_col, parts))
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    coded = rows.mapInArrow(encoder(tokenizer_path, end_id, width, bounds), "part int, key binary, hash long, ids binary")
+    dealt = coded.repartitionById(parts, F.col("part")).sortWithinPartitions("key", "hash").select("key", "ids")
+    return common.materialize(dealt.mapInArrow(shard_writer(folder, width, shard_bytes), MANIFEST), "manifest")
 
 
-def read_shards(manifest: DataFrame) -> DataFrame:
+def read_shards(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
     """Documents of all shards: doc_id, start (ids before it), ids (binary, little-endian unsigned 32-bit).
 
     The manifest has a row for each shard of up to ``SHARD_BYTES``; its running sum is made on the driver.
@@ -256,7 +291,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     shards = manifest.orderBy("part", "seq").select("path", "n_tokens").collect()
     starts = [0, *accumulate(s.n_tokens for s in shards)]
     plan = spark.sparkContext.parallelize([(s.path, b) for s, b in zip(shards, starts)], max(1, len(shards)))
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.string() if id_type == "string" else pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
 
     def read(batches):
         for batch in batches:
@@ -270,7 +305,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                             start += len(value) // reader.width
                         yield pa.RecordBatch.from_pylist(out, schema)
 
-    return spark.createDataFrame(plan, "path string, base long").mapInArrow(read, "doc_id long, start long, ids binary")
+    return spark.createDataFrame(plan, "path string, base long").mapInArrow(read, f"doc_id {id_type}, start long, ids binary")
 
 
 def op3_token_sstable(spark, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Token counts by a two-tier lookup: a broadcast table of frequent pre-token lengths, then worker caches.
 
-A text is cut into pre-token units (see ``units``): stretches that the tokenizer's pattern never matches across. The
-first tier is a table of at most ``table_rows`` lengths of frequent units, made on the driver from ``sample_docs``
-documents and broadcast; its size is bounded by that parameter. A unit that it lacks is encoded by the library and
-kept in the worker's bounded cache. Neither tier changes a count, whatever it holds: they only save work. Nothing is
-shuffled.
+A text is cut into units and those into pre-tokens (see ``units``), which the tokenizer never joins. The first tier is a
+table of the lengths of the pre-tokens in the ``table_rows`` most frequent units at most, counted over all documents:
+each task counts its own and tells the ``TOLD`` most frequent, so what is summed is bounded and no pre-token of a text
+is shuffled. A pre-token that the table lacks is encoded by the library once and kept in the worker's bounded cache.
+Neither tier changes a count, whatever it holds: they only save work.
+
+A file of another kind than byte-level BPE gives no units; its library counts whole texts.
 
 Nulls: a null text counts as empty (0 bytes, 0 tokens), a null identifier stays null. Repeated rows are counted each.
 """
@@ -12,16 +14,17 @@ Nulls: a null text counts as empty (0 bytes, 0 tokens), a null identifier stays
 from __future__ import annotations
 
 from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, units
+from .arrays import Ragged
 
-SAMPLE_DOCS, TABLE_ROWS = 512, 1 << 16
+TABLE_ROWS, TOLD = 1 << 16, 1 << 14
 
 
 def counter(path: str):
@@ -30,65 +33,75 @@ def counter(path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
-    tokenizer = units.library_tokenizer(path)
-    if not cuts_apart(path):
-        return lambda texts: [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-    return lambda texts: np.diff(units.encode_units(tokenizer, texts)[1]).tolist()
+        return lambda texts: np.fromiter(map(len, model.encode(texts, num_threads=1)), np.int64, len(texts))
+    library = units.Library(path)
+    return lambda texts: library.encode_pieces(texts).lengths
 
 
-def cuts_apart(path: str) -> bool:
-    """Whether units may be counted by themselves: only with the byte-level pre-tokenizer and no normalizer."""
-    if path.endswith(".model"):
-        return False
-    import json
+def lengths(path: str, first: tuple[list[str], np.ndarray] | None = None) -> units.Pieces:
+    """Pieces whose value is their number of tokens; those of ``first`` are known."""
+    number = counter(path)
+    split = units.split_letters if units.cuts_apart(path) else units.whole_units
 
-    with open(path, encoding="utf-8") as file:
-        spec = json.load(file)
-    pre = spec.get("pre_tokenizer") or {}
-    plain = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"] for t in spec.get("added_tokens", []))
-    return spec.get("normalizer") is None and spec.get("post_processor") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and bool(pre.get("use_regex")) and plain
+    def values(pieces: list[str]) -> Ragged:
+        return Ragged(number(pieces).astype(np.int32), np.ones(len(pieces), np.int64))
 
+    known = first and (pa.array(first[0], pa.string()), Ragged(first[1].astype(np.int32), np.ones(len(first[0]), np.int64)))
+    return units.Pieces(split, values, first=known)
 
-def frequent_lengths(texts: list[str | None], path: str, table_rows: int = TABLE_ROWS) -> dict[str, int]:
-    """The first tier: lengths of the units that a sample of texts has most often."""
-    seen = Counter(chain.from_iterable(units.cut(t or "")[1] for t in texts))
-    often = [u for u, _ in seen.most_common(table_rows) if len(u) <= units.UnitCache.LONGEST]
-    return dict(zip(often, counter(path)([" " + u for u in often])))
 
+def frequent_units(texts: DataFrame, table_rows: int, told: int = TOLD) -> list[str]:
+    """Units that are frequent over all of a column ``text``."""
 
-def token_counts(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "n_tokens", sample_docs: int = SAMPLE_DOCS, table_rows: int = TABLE_ROWS) -> DataFrame:
+    def count(batches):
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for _, part in common.text_parts(batch.column(0)):
+                coded = units.units_of(part, True)[0].dictionary_encode()
+                times = np.bincount(np.asarray(coded.indices), minlength=len(coded.dictionary))
+                if len(times) > told:
+                    often = np.argpartition(-times, told)[:told]
+                    often = often[times[often] > 1]
+                else:
+                    often = np.arange(len(times))
+                short = np.asarray(pc.utf8_length(coded.dictionary))[often] <= units.Pieces.LONGEST
+                often = often[short]
+                seen.update(dict(zip(coded.dictionary.take(pa.array(often)).to_pylist(), times[often].tolist())))
+                if len(seen) > 8 * told:
+                    seen = Counter(dict(seen.most_common(2 * told)))
+        top = seen.most_common(told)
+        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in top], pa.string()), pa.array([c for _, c in top], pa.int64())], names=["key", "c"])
+        common.give_back()
+
+    counts = texts.select("text").mapInArrow(count, "key string, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return list(common.most_frequent(common.materialize(counts, "frequent-units"), table_rows))
+
+
+def token_counts(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "n_tokens", table_rows: int = TABLE_ROWS) -> DataFrame:
     """``docs`` with the number of tokens of every whole text in ``out_col``, which replaces a column of that name."""
     spark = docs.sparkSession
     common.ship(spark)
-    apart, table = cuts_apart(path), None
+    apart, table = units.cuts_apart(path), None
     if apart:
-        sample = [r[0] for r in docs.select(text_col).limit(sample_docs).collect()]
-        table = spark.sparkContext.broadcast(frequent_lengths(sample, path, table_rows))
+        pieces = sorted(set(units.split_letters(frequent_units(docs.select(F.col(f"`{text_col}`").alias("text")), table_rows))[0]))
+        table = pieces, counter(path)(pieces)
+    sent = spark.sparkContext.broadcast(table)
+    at = docs.columns.index(text_col)
 
     def count(batches):
-        cache = units.kept(("lengths", path), lambda: units.UnitCache(counter(path)))
-        number = cache.encode
-        first_tier = table.value if apart else {}
-        known = first_tier.get
+        known = lengths(path, sent.value)
         for batch in batches:
-            texts, out = batch.column(1), []
-            for at in range(0, len(texts), 500):
-                part = [t or "" for t in texts.slice(at, 500).to_pylist()]
-                if not apart:
-                    out += number(part)
-                    continue
-                cuts = [units.cut(t) for t in part]
-                misses = [[u for u in set(rest) if u not in first_tier] for _, rest in cuts]
-                cache.fill(misses)
-                for head, (_, rest) in zip(number([first for first, _ in cuts]), cuts):
-                    lengths = list(map(known, rest))
-                    if None in lengths:
-                        lengths = [cache[u] if n is None else n for n, u in zip(lengths, rest)]
-                    out.append(head + sum(lengths))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["__row", "__n"])
-
-    rows = common.pack(docs, __text=F.col(f"`{text_col}`"))
+            out = np.zeros(batch.num_rows, np.int64)
+            for first, part in common.text_parts(common.field(batch, at)):
+                found = known.encode(part, apart)
+                total = np.concatenate([[0], np.cumsum(found.flat, dtype=np.int64)])
+                ends = np.cumsum(found.lengths)
+                out[first : first + len(part)] = total[ends] - total[ends - found.lengths]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["__row", "__n"])
+        del known
+        common.give_back()
+
+    rows = common.pack(docs)
     schema = rows.select("__row", F.lit(0).cast("long").alias("__n")).schema
     return rows.mapInArrow(count, schema).select(*[F.col(f"__row.`{c}`") for c in docs.columns if c != out_col], F.col("__n").alias(out_col))
 
@@ -98,6 +111,6 @@ def op5_token_counts(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(common.table_path(sf_dir, "documents"))
-    texts = docs.select("doc_id", F.col("text").alias("text"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    texts = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     counted = token_counts(texts, public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
