@@ -3,8 +3,10 @@
 A URL's tokens are the suffixes of its host, its path segments with their places (digits masked) and its query keys.
 Labelled URLs are transactions of tokens and the label; rules ``tokens -> block`` are kept by support and confidence,
 those that contain another kept rule's tokens are pruned, and the rest is matched by an inverted index from token to
-rules. A list of host and path rules comes first: the longest that fits decides, and what it decides is also the
-labels to learn from, unless a table of labels is given. URLs that no rule of either kind fits are allowed.
+rules. A list of host and path rules comes first: the longest that fits decides. Unless a table of labels is given, the
+URLs that it blocks are the positive ones and all others, decided or not, the negative ones: a combination passes only
+if nearly all URLs that have it are blocked, so a whole domain is not blocked for a folder of it. URLs that no rule of
+either kind fits are allowed.
 
 Only minimal combinations are mined: one that passes is not extended, nor one as frequent as a part of it. Support is
 the same at every input size; distinct baskets are counted in Spark, and what comes to the driver is counts of frequent
@@ -28,7 +30,7 @@ from . import common
 
 #: (verdict, host, path) of the rule list that the query applies.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-MIN_SUPPORT, MIN_CONFIDENCE = 0.01, 0.9
+MIN_SUPPORT, MIN_CONFIDENCE = 0.01, 0.85
 
 
 def parse(urls: DataFrame, url_col: str = "url") -> DataFrame:
@@ -64,11 +66,14 @@ def tokens():
 
 
 def grown(sets: dict[tuple[str, ...], int]) -> list[tuple[str, ...]]:
-    """Sorted sets of one token more whose subsets of one token less are all in ``sets``."""
+    """Sorted sets of one token more whose subsets of one token less are all in ``sets``.
+
+    Suffixes of one host imply each other, so a set has one of them at most: the longer stands for both.
+    """
     by_head: dict[tuple[str, ...], list[str]] = defaultdict(list)
     for s in sorted(sets):
         by_head[s[:-1]].append(s[-1])
-    both = ((*head, x, y) for head, last in by_head.items() for x, y in combinations(last, 2))
+    both = ((*head, x, y) for head, last in by_head.items() for x, y in combinations(last, 2) if not (x[:2] == y[:2] == "h:"))
     return [c for c in both if all(c[:i] + c[i + 1 :] in sets for i in range(len(c) - 2))]
 
 
@@ -118,7 +123,12 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         counts = count_sets(baskets, wanted) if wanted else {}
         # nor is a set as frequent as one of its subsets: the subset stands for it, in every superset too
         found = {s: (n, b) for s, (n, b) in counts.items() if b >= max(least, 1) and all(n < open_sets[s[:i] + s[i + 1 :]] for i in range(len(s)))}
-    return kept
+    return [rule for rule in kept if not any(other != rule and all(implied(t, rule) for t in other) for other in kept)]
+
+
+def implied(token: str, rule: frozenset[str]) -> bool:
+    """Whether every URL with the tokens of ``rule`` has ``token``: it is one of them, or a shorter suffix of its host."""
+    return token in rule or token[:2] == "h:" and any(t[:2] == "h:" and t.endswith("." + token[2:]) for t in rule)
 
 
 def inverted(rules: list[frozenset[str]]) -> tuple[dict[str, list[int]], list[int]]:
@@ -140,12 +150,12 @@ def matches(found: list[str], index: dict[str, list[int]], sizes: list[int]) ->
 
 
 def judge(urls: DataFrame, url_col: str = "url", rules=RULES, labels: DataFrame | None = None, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """``urls`` packed as ``__row`` with host, path, rule and verdict. ``labels``: url, blocked; else the rules' own."""
+    """``urls`` packed as ``__row`` with host, path, rule and verdict. ``labels``: url, blocked; else what the rules block."""
     spark = urls.sparkSession
     common.ship(spark)
     rows = with_rule(parse(urls, url_col), rules).withColumn("items", tokens())
     if labels is None:
-        labelled = rows.where("verdict is not null").select("items", (F.col("verdict") == "block").alias("blocked"))
+        labelled = rows.select("items", F.coalesce(F.col("verdict") == "block", F.lit(False)).alias("blocked"))
     else:
         labelled = parse(labels, "url").select(tokens().alias("items"), F.col("__row.blocked").alias("blocked")).where("blocked is not null")
     sent = spark.sparkContext.broadcast(inverted(mine(labelled, min_support, min_confidence)))

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on small tables with nulls, ties, repeats, empty and long texts."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -468,6 +469,40 @@ def test_fp_rules_against_brute_force(spark):
         assert (r.verdict == "block") == bool(r.url and "spam" in r.url and "/x/" in r.url)
 
 
+def url_tokens(url):
+    rest = (url or "").partition("://")[2]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path, query = re.match(r"([^?#]*)\??([^#]*)", rest[len(host) :]).groups()
+    labels = lower(host).split(".")
+    found = {"h:" + ".".join(labels[i:]) for i in range(len(labels))} if host else set()
+    found |= {f"p{i}:{x}" for i, x in enumerate(x for x in re.sub("[0-9]+", "#", path).split("/") if x)}
+    return found | {"q:" + q.split("=")[0] for q in query.split("&") if q}
+
+
+def test_op9_verdicts_against_all_combinations(spark, tmp_path):
+    """Every verdict from every combination of tokens, counted one by one; other folders of a domain stay allowed."""
+    rng = random.Random(11)
+    hosts = ["a.example.com", "example.com", "b.org", "c.b.org", "x.de", "evil.net"]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(['en', 'es', 'de'])}/{rng.randrange(90)}" + rng.choice(["", "?q=1", "?q=1&r=2"]) for _ in range(400)] + [None, "none", "http://only.org"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = queries.QUERIES["op9_url_rules"](spark, str(tmp_path)).collect()
+    ruled = {r.page_id: r.verdict for r in out if r.rule}
+    baskets = [(url_tokens(u), ruled.get(i) == "block") for i, u in enumerate(urls)]
+    n, b = Counter(), Counter()
+    for found, blocked in baskets:
+        for k in range(1, len(found) + 1):
+            for c in itertools.combinations(sorted(found), k):
+                n[c] += 1
+                b[c] += blocked
+    total = sum(bool(found) or blocked for found, blocked in baskets)
+    rules = [set(c) for c in n if b[c] >= max(1, 0.01 * total) and b[c] >= 0.85 * n[c]]
+    assert rules
+    for r in out:
+        if not r.rule:
+            assert (r.verdict == "block") == any(rule <= url_tokens(urls[r.page_id]) for rule in rules)
+    assert all(r.verdict == "allow" for r in out if r.host.endswith("b.org") and not r.path.startswith("/es/"))
+
+
 def print_of(text):
     w = ws_words(lower(text))
     shingles = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] if len(w) >= 4 else [" ".join(w)] if w else []
