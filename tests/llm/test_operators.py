@@ -622,6 +622,26 @@ def similarity(a, b):
     return len(x & y) / len(x | y)
 
 
+def test_connect_leaves_no_link_out():
+    """One run with many labels and similarities on both sides of the limit, against all pairs."""
+    rng = random.Random(12)
+    for _ in range(40):
+        base = [rng.getrandbits(64) for _ in range(rng.randint(10, 60))]
+        sets = [np.array(sorted({x if rng.random() > rate else rng.getrandbits(64) for x in base}), np.uint64) for rate in [rng.random() * 0.3 for _ in range(25)]]
+        labels = np.array([rng.randrange(18) for _ in sets])
+        sigs = np.zeros((25, nearcopies.HASHES), np.uint8)
+        links = nearcopies.connect(np.arange(25), labels, sigs, np.concatenate(sets), np.array(list(map(len, sets))))
+
+        def closed(pairs):
+            root = labels.copy()
+            for i, j in pairs:
+                root[root == root[j]] = root[i]
+            return {tuple(np.flatnonzero(root == r)) for r in root}
+
+        good = [(i, j) for i in range(25) for j in range(i) if 5 * len(set(sets[i]) & set(sets[j])) >= 4 * len(set(sets[i]) | set(sets[j]))]
+        assert set(links) <= {p for i, j in good for p in ((i, j), (j, i))} and closed(links) == closed(good) and len(links) < 25
+
+
 @pytest.mark.parametrize("block", [4, 2048])
 def test_near_copies_by_shingles(spark, block):
     """Groups at a similarity of 0.8 against all pairs, most of them beyond four bits; blocks lose none."""
@@ -644,7 +664,7 @@ def test_near_copies_by_shingles(spark, block):
     assert far > 10
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     rows = common.materialize(nearcopies.with_sketch(docs).withColumn("rid", F.monotonically_increasing_id()), "t")
-    of = {r.node: r.root for r in nearcopies.node_groups(rows, block=block).collect()}
+    of = {r.node: r.root for r in nearcopies.node_groups(rows, block=block, block_bytes=block << 12).collect()}
     mine = {r.doc_id: of.get(r.node, r.node) for r in rows.select("__row.doc_id", "node").collect()}
     assert len({(mine[i], root[i]) for i in mine}) == len(set(mine.values())) == len(set(root))
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(root)
