@@ -74,9 +74,10 @@ def stage_images(docs: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFram
         F.when(absolute, F.col("src")).otherwise(join("out_dir", F.col("src"))),
     )
     tries = found.select("doc_id", "stem", "place", "alt", F.posexplode(places).alias("step", "path"))
-    hits = best_of(tries.join(files.select("path", "data"), "path"), ["doc_id", "place"], [F.col("step"), F.col("path")])
+    hits = best_of(tries.join(files.select("path"), "path"), ["doc_id", "place"], [F.col("step"), F.col("path")])
     numbered = hits.withColumn("occurrence", F.row_number().over(Window.partitionBy("doc_id").orderBy("place")))
-    named = numbered.withColumn("asset_id", asset_id(F.col("stem"), F.col("occurrence"), F.col("data")))
+    # links are settled by paths alone; the bytes come last and once
+    named = numbered.join(files.select("path", "data"), "path").withColumn("asset_id", asset_id(F.col("stem"), F.col("occurrence"), F.col("data")))
     ext = T.extension(F.col("path"))
     store = named.select("asset_id", F.when(ext == "", "bin").otherwise(ext).alias("ext"), "data").dropDuplicates(["asset_id", "ext"])
     new = F.concat(F.lit("!["), F.col("alt"), F.lit(f"]({SCHEME}"), F.col("asset_id"), F.lit(")"))
@@ -112,8 +113,14 @@ def pair_pictures(docs: DataFrame, pictures: DataFrame, folder: str = "assets/of
 
     ``docs`` has ``stem``; ``pictures``: doc_id, img_no (from 1, in order), alt, ext, data.
     """
-    staged = pictures.join(docs.select("doc_id", "stem"), "doc_id").withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("img_no")))
-    staged = staged.select("doc_id", "n", F.coalesce("alt", F.lit("")).alias("own_alt"), F.concat(F.lit(f"{folder}/"), asset_id(F.col("stem"), F.col("n"), F.col("data")), F.lit("."), F.col("ext")).alias("path"))
+    return paired_pictures(docs, pictures, folder)[0]
+
+
+def paired_pictures(docs: DataFrame, pictures: DataFrame, folder: str = "assets/office") -> tuple[DataFrame, DataFrame]:
+    """``pair_pictures``, and the files that its links name: path, data."""
+    named = pictures.join(docs.select("doc_id", "stem"), "doc_id").withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("img_no")))
+    named = named.withColumn("path", F.concat(F.lit(f"{folder}/"), asset_id(F.col("stem"), F.col("n"), F.col("data")), F.lit("."), F.col("ext")))
+    staged = named.select("doc_id", "n", F.coalesce("alt", F.lit("")).alias("own_alt"), "path")
     local = links(docs).where((F.col("src") != "") & ~is_external(F.col("src")) & ~F.startswith(F.lower("src"), F.lit(f"{STORE}/")))
     local = local.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("place")))
     pairs = local.join(staged, ["doc_id", "n"])
@@ -124,4 +131,4 @@ def pair_pictures(docs: DataFrame, pictures: DataFrame, folder: str = "assets/of
     line = F.concat(F.lit("!["), F.col("own_alt"), F.lit("]("), F.col("path"), F.lit(")\n"))
     gallery = rest.withColumn("line", line).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda g: g["line"]), "").alias("__g"))
     out = done.join(gallery, "doc_id", "left")
-    return out.withColumn("md", F.concat("md", F.coalesce(F.concat(F.lit("\n\n"), F.col("__g")), F.lit("")))).drop("__g")
+    return out.withColumn("md", F.concat("md", F.coalesce(F.concat(F.lit("\n\n"), F.col("__g")), F.lit("")))).drop("__g"), named.select("path", "data").dropDuplicates(["path"])

@@ -80,7 +80,11 @@ def structured_pages(pages: DataFrame, regions: DataFrame, scale: float = 1.0, t
     are not repeated, the homeless follow the regions. ``tables`` (doc_id, page_no, table_no, md) go to the end.
     """
     lines = PG.region_lines(PG.with_regions(pages, regions), scale, height)
-    texts = OW.region_texts(lines.where("not free"))
+    return assembled(lines, regions, OW.region_texts(lines.where("not free")), tables, scale)
+
+
+def assembled(lines: DataFrame, regions: DataFrame, texts: DataFrame, tables: DataFrame | None = None, scale: float = 1.0) -> DataFrame:
+    """doc_id, page_no, md from lines with their regions, the regions with what is known of them, and their texts."""
     homeless = OW.seams(lines.where("free").drop("region_no"), regions, scale).where("region_no is null").select(*GL.PAGE, (F.col("line_no") + HOMELESS).alias("ord"), F.col("text").alias("md"))
     blocks = region_blocks(regions, texts).unionByName(homeless)
     if tables is not None:

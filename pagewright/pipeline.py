@@ -5,7 +5,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +17,12 @@ from .errors import ArticleFailed, OfficeError, SourceError, UnsupportedFormat
 from .functions import text as T
 from .functions import udfs
 from .models import Registry
+from .operators import arms as AR
 from .operators import assets as A
+from .operators import glyphs as GL
+from .operators import paged as PG
 from .operators import pages as P
+from .session import local_path, open_output, ship, written
 from .sources import files as FI
 from .sources import office as OF
 
@@ -44,54 +50,100 @@ class Converter:
         paged = routes["pdf"].select("path", F.lit(None).cast("string").alias("md"), F.lit("pages of this format come from a page source").alias("error"))
         return text.unionByName(office).unionByName(article).unionByName(paged).select("path", "md", F.lit(0).alias("n_pages"), "error")
 
-    def convert_pages(self, pages: DataFrame, glyphs: DataFrame, regions: DataFrame | None = None) -> DataFrame:
-        """doc_id, md, n_pages from pre-extracted pages (doc_id, page_no, page_md, n_images) and glyphs (bottom-up).
+    def convert_pages(self, pages: DataFrame, glyphs: DataFrame, regions: DataFrame | None = None, images: DataFrame | None = None, tables: DataFrame | None = None) -> DataFrame:
+        """doc_id, n_pages, md from pre-extracted pages (doc_id, page_no, page_md, n_images) and glyphs (bottom-up).
 
-        Pages that are routed to the full way and have layout regions are put together from them; all others, and those
-        that come out blank, keep their own text.
+        ``regions``: layout regions in render pixels, else those of the layout recognizer if there is one; ``images``:
+        placed images (img_no, bounds in points from the top, src); ``tables``: tables of the source (table_no, bounds,
+        md). Pages go by their route: ``full`` ones are put together from their regions, ``surgical`` ones get formulas
+        into their own text, and all others, and those that come out blank, keep their own text.
         """
-        from .operators import glyphs as GL
-        from .operators import paged as PG
-
         c = self.config
+        whole = PG.paged(glyphs)
         signals = pages.join(GL.page_signals(glyphs), GL.PAGE, "left").fillna(0, ["n_math", "n_chars"])
         way = P.route(F.col("n_math"), F.col("n_chars"), F.coalesce("n_images", F.lit(0)), c.routing_mode, c.use_onnx, c.math_char_threshold, c.scanned_text_threshold)
         routed = signals.withColumn("route", way)
-        whole = PG.paged(glyphs)
-        visual = GL.page_text(PG.line_rows(whole, GL.PAGE_HEIGHT))
+        lines = PG.line_rows(whole, GL.PAGE_HEIGHT)
         own = F.col("text") if c.preserve_layout else P.fast_text(F.col("page_md"), F.col("text"))
-        fast = routed.join(visual, GL.PAGE, "left").select(*GL.PAGE, "route", F.coalesce(own, F.lit("")).alias("fast_md"))
-        if regions is not None:
-            wanted = routed.where("route = 'full'").select(*GL.PAGE)
-            full = P.structured_pages(whole.join(wanted, GL.PAGE, "left_semi"), regions.join(wanted, GL.PAGE, "left_semi"), c.render_dpi / 72, height=GL.PAGE_HEIGHT)
-            fast = fast.join(full.withColumnRenamed("md", "full_md"), GL.PAGE, "left")
-        else:
-            fast = fast.withColumn("full_md", F.lit(None).cast("string"))
-        md = P.with_fallback(F.col("full_md"), F.col("fast_md"))
-        md = T.promote_headings(md) if c.promote_headings else md
-        done = fast.select(*GL.PAGE, md.alias("md"))
+        fast = routed.join(GL.page_text(lines), GL.PAGE, "left").select(*GL.PAGE, "route", F.coalesce("text", F.lit("")).alias("layer_text"), F.coalesce(own, F.lit("")).alias("md"))
+        of_route = lambda df, route: df.join(routed.where(F.col("route") == route).select(*GL.PAGE), GL.PAGE, "left_semi")
+        parts = [fast.where("route = 'fast'").select(*GL.PAGE, "md")]
+        if images is not None and c.extract_images:
+            parts = [P.place_page_images(parts[0], lines, images, c.min_figure_area_pts).select(*GL.PAGE, "md")]
+        text = fast.where("route = 'surgical'").select(*GL.PAGE, "md")
+        parts.append(AR.surgical(of_route(whole, "surgical"), GL.top_down(of_route(glyphs, "surgical")), text, self.models, c).select(*GL.PAGE, "md") if self.models.status()["formula"] else text)
+        parts.append(self._full(of_route(whole, "full"), of_route(pages, "full"), fast.where("route = 'full'"), regions, images, tables))
+        done = reduce(DataFrame.unionByName, parts)
+        done = done.withColumn("md", T.promote_headings(F.col("md"))) if c.promote_headings else done
         if c.detect_code_blocks:
-            code = GL.code_blocks(glyphs)
-            done = done.join(code, GL.PAGE, "left").select(*GL.PAGE, F.concat_ws("\n\n", "md", "code").alias("md"))
+            done = done.join(GL.code_blocks(glyphs), GL.PAGE, "left").select(*GL.PAGE, F.concat_ws("\n\n", "md", "code").alias("md"))
         docs = P.documents_of(done)
+        if images is not None and c.extract_images and c.append_unreferenced_images:
+            placed = images.select("doc_id", F.concat(F.lpad(F.col("page_no").cast("string"), 9, "0"), F.lit(":"), F.lpad(F.col("img_no").cast("string"), 9, "0")).alias("img_no"), "src", (F.col("x1") - F.col("x0")).alias("width"), (F.col("y1") - F.col("y0")).alias("height"))
+            docs = A.with_gallery(docs, placed, c.min_figure_area_pts).drop("n_gallery")
         return docs.withColumn("md", T.promote_title(F.col("md"))) if c.promote_title else docs
 
+    def _full(self, whole: DataFrame, pages: DataFrame, fast: DataFrame, regions: DataFrame | None, images: DataFrame | None, tables: DataFrame | None) -> DataFrame:
+        """doc_id, page_no, md of the pages of the dear route: their regions, gated, else their own text."""
+        c = self.config
+        if regions is None and self.models.status()["layout"]:
+            regions = AR.detected(pages, self.models, c)
+        if regions is None:
+            return fast.select(*GL.PAGE, "md")
+        regions = regions.join(pages.select(*GL.PAGE), GL.PAGE, "left_semi")
+        full = AR.full_pages(whole, regions, self.models, c, images, tables)
+        if not (c.render_gate_enabled and self.models.status()["ocr"]):
+            both = fast.join(full.withColumnRenamed("md", "full_md"), GL.PAGE, "left")
+            return both.select(*GL.PAGE, P.with_fallback(F.col("full_md"), F.col("md")).alias("md"))
+        full = written(full, "full-pages")
+        checked = AR.gated(fast.join(full.withColumnRenamed("md", "full_md"), GL.PAGE).select(*GL.PAGE, "layer_text", "full_md"), self.models, c)
+        return P.gate_pages(full, fast.select(*GL.PAGE, "md"), checked)
+
+    def recognize_formula(self, crops: DataFrame) -> DataFrame:
+        """``crops`` (a ``crop`` column) with ``latex``, sanitized if the settings say so; a recognizer must be there."""
+        rows = self.models.run("formula", crops, "crop", None, required=True)
+        return rows.withColumn("latex", udfs.sanitize_latex(F.col("latex"))["latex"]) if self.config.sanitize_ocr else rows
+
     def ingest(self, files: DataFrame, out_dir: str, lint: Callable | None = None) -> DataFrame:
         """Converted documents with their images staged: path, md_path, md, n_images, n_pages, data_files, error.
 
         ``lint``: a function of a Markdown column to ``struct(fixed, content)``; its content is taken if it says so.
+        The links name assets that ``ingest_with_assets`` also returns.
+        """
+        return self.ingest_with_assets(files, out_dir, lint)[0]
+
+    def ingest_with_assets(self, files: DataFrame, out_dir: str, lint: Callable | None = None) -> tuple[DataFrame, DataFrame]:
+        """``ingest``, and the files that go with its documents: path, data (see ``write_files``).
+
+        Those are images that links were moved to, under the asset store, pictures of office packages, and the sheets
+        and the whole of workbooks.
         """
         docs = self.convert_files(files).withColumn("stem", T.stem(F.col("path")))
-        parent = F.regexp_replace("path", "/[^/]*$", "")
-        good = docs.where("error is null").select(F.col("path").alias("doc_id"), "md", "stem", F.lit(f"{out_dir}/{A.STORE}").alias("image_dir"), parent.alias("source_dir"), F.lit(out_dir).alias("out_dir"))
+        good = docs.where("error is null").select(F.col("path").alias("doc_id"), "md", "stem")
+        store = f"{out_dir}/{A.STORE}"
+        extra = []
+        if self.config.extract_images:
+            office = FI.by_route(files)["office"]
+            shown = OF.office_pictures(office).select(F.col("path").alias("doc_id"), F.posexplode("pictures").alias("at", "p")).select("doc_id", (F.col("at") + 1).alias("img_no"), "p.alt", "p.ext", "p.data")
+            folder = f"{self.config.image_output_dir}/office"
+            good, named = A.paired_pictures(good, shown, folder)
+            extra.append(named.select(F.concat(F.lit(f"{out_dir}/"), "path").alias("path"), "data"))
+        parent = F.regexp_replace(F.col("doc_id"), "/[^/]*$", "")
+        good = good.select("doc_id", "md", "stem", F.lit(store).alias("image_dir"), parent.alias("source_dir"), F.lit(out_dir).alias("out_dir"))
         images = files.where(T.is_image(T.extension(F.col("path")))).select("path", F.col("content").alias("data"))
-        staged, _ = A.stage_images(good, images)
+        staged, kept = A.stage_images(good, images)
+        extra.append(kept.select(F.concat(F.lit(f"{store}/"), "asset_id", F.lit("."), "ext").alias("path"), "data"))
+        siblings = self.workbook_siblings(files)
+        extra.append(siblings.select(F.concat(F.lit(f"{out_dir}/"), "name").alias("path"), F.col("content").cast("binary").alias("data")))
+        names = siblings.groupBy("path").agg(F.array_sort(F.collect_list("name")).alias("data_files"))
         rows = staged.select(F.col("doc_id").alias("path"), F.col("md").alias("staged"), F.col("n_changed").alias("n_images"))
-        out = docs.join(rows, "path", "left").withColumn("md", F.coalesce("staged", "md"))
+        out = docs.join(rows, "path", "left").join(names, "path", "left").withColumn("md", F.coalesce("staged", "md"))
         if lint is not None:
             linted = lint(F.col("md"))
             out = out.withColumn("md", F.when(linted["fixed"], linted["content"]).otherwise(F.col("md")))
-        return out.select("path", F.concat(F.lit(f"{out_dir}/"), "stem", F.lit(".md")).alias("md_path"), "md", F.coalesce("n_images", F.lit(0)).alias("n_images"), "n_pages", "error")
+        none = F.array().cast("array<string>")
+        out = out.select("path", F.concat(F.lit(f"{out_dir}/"), "stem", F.lit(".md")).alias("md_path"), "md", F.coalesce("n_images", F.lit(0)).alias("n_images"), "n_pages", F.coalesce("data_files", none).alias("data_files"), "error")
+        return out, reduce(DataFrame.unionByName, extra)
 
     def workbook_siblings(self, files: DataFrame) -> DataFrame:
         """path, name, content: a CSV for each sheet with content and a JSON of the whole for each workbook."""
@@ -125,22 +177,28 @@ class Converter:
         return found["md"]
 
 
-def write_markdown(docs: DataFrame) -> DataFrame:
-    """Each document's Markdown as a file at ``md_path``, by the tasks; returns what was written.
+def write_files(files: DataFrame) -> DataFrame:
+    """Each ``data`` as a file at ``path``, by the tasks, in any store that pyarrow reaches; returns path, n_bytes.
 
-    Files are written beside their names and moved, so a task that runs again leaves whole files.
+    Names are made of contents or given once, so a task that runs again writes the same bytes to the same name. Plain
+    files are written beside their names and moved.
     """
-    import os
+    ship(files.sparkSession)
 
     def write(frames):
         for frame in frames:
-            for path, md in zip(frame["md_path"], frame["md"]):
-                local = path.removeprefix("file://")
-                os.makedirs(os.path.dirname(local), exist_ok=True)
-                beside = f"{local}.{os.getpid()}.part"
-                with open(beside, "w", encoding="utf-8", newline="") as file:
-                    file.write(md)
-                os.replace(beside, local)
-            yield frame[["md_path"]].assign(n_bytes=[len(m.encode()) for m in frame["md"]])
-
-    return docs.where("error is null").select("md_path", "md").mapInPandas(write, "md_path string, n_bytes long")
+            for path, data in zip(frame["path"], frame["data"]):
+                beside = f"{path}.{os.getpid()}.part" if path.startswith("file:") or "://" not in path else path
+                with open_output(beside) as file:
+                    file.write(data)
+                if beside != path:
+                    os.replace(local_path(beside), local_path(path))
+            yield frame[["path"]].assign(n_bytes=[len(d) for d in frame["data"]])
+
+    return files.select("path", F.col("data").cast("binary").alias("data")).mapInPandas(write, "path string, n_bytes long")
+
+
+def write_markdown(docs: DataFrame) -> DataFrame:
+    """Each document's Markdown as a file at ``md_path``; returns md_path, n_bytes of what was written."""
+    files = docs.where("error is null").select(F.col("md_path").alias("path"), F.encode("md", "UTF-8").alias("data"))
+    return write_files(files).withColumnRenamed("path", "md_path")

@@ -9,10 +9,12 @@ import tempfile
 import uuid
 import zipfile
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _own: dict[str, str] = {}
+_written: list[str] = []
 
 
 def session() -> SparkSession:
@@ -41,7 +43,7 @@ def ship(spark: SparkSession | None = None) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where that is unset, which only a local master may leave, a folder of this application."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if where:
         return where.rstrip("/") + "/pagewright"
     if not spark.sparkContext.master.startswith("local["):
@@ -54,7 +56,52 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: a cut of lineage that survives lost executors."""
+    """``df`` as a Parquet table in the shared folder, read again: a cut of lineage that survives lost executors.
+
+    It is there until the driver ends or ``forget_written`` is called, as results may read it at any time.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(forget_written)
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget_written() -> None:
+    """Delete the intermediate tables of this driver; results that read them must be done with."""
+    jvm = SparkContext._jvm
+    while _written:
+        path = _written.pop()
+        try:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
+        except Exception:  # the gateway may be gone when the driver ends
+            return
+
+
+def local_path(uri: str) -> str:
+    return "/" + uri.removeprefix("file:").lstrip("/") if uri.startswith("file:") else uri
+
+
+def open_output(uri: str):
+    """A file to write, from a worker: plain paths directly, other stores by pyarrow's file systems."""
+    if uri.startswith("file:") or "://" not in uri:
+        path = local_path(uri)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        return open(path, "wb")
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    store.create_dir(path.rpartition("/")[0], recursive=True)
+    return store.open_output_stream(path)
+
+
+def open_input(uri: str):
+    """A seekable file, from a worker."""
+    if uri.startswith("file:") or "://" not in uri:
+        return open(local_path(uri), "rb")
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    return store.open_input_file(path)

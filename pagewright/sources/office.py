@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime
 import io
+import posixpath
 import re
 import zipfile
 from functools import lru_cache
@@ -213,19 +214,67 @@ def slides_markdown(data: bytes) -> str:
     return "\n\n".join(out) + "\n"
 
 
+def _shown(package: zipfile.ZipFile, names: set[str]) -> list[tuple[str, str]]:
+    """``(part, description)`` of pictures in the order of the document's parts and of their places in them.
+
+    Decorative pictures and those that are only links are left out; a picture that is shown twice comes twice.
+    """
+    main = [n for n in ("word/document.xml",) if n in names]
+    number = lambda n: int("".join(filter(str.isdigit, n.rpartition("/")[2])) or 0)
+    main += sorted((n for n in names if n.startswith(("ppt/slides/slide", "xl/drawings/drawing")) and n.endswith(".xml")), key=number)
+    main += [n for n in ("word/footnotes.xml", "word/endnotes.xml") if n in names]
+    out = []
+    for part in main:
+        folder, _, base = part.rpartition("/")
+        rels = f"{folder}/_rels/{base}.rels"
+        targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(package.read(rels)).iter() if r.get("TargetMode") != "External"} if rels in names else {}
+
+        def walk(element, alt, decorative):
+            tag = _tag(element)
+            if tag in ("drawing", "pic", "pict", "anchor", "inline"):
+                decorative = decorative or any(_tag(e) == "decorative" and e.get("val", "1") not in ("0", "false") for e in element.iter())
+            if tag in ("inline", "anchor", "pic"):
+                alt = next((e.get("descr") for e in element.iter() if _tag(e) in ("docPr", "cNvPr") and e.get("descr")), alt)
+            if tag in ("blip", "imagedata") and not decorative:
+                rid = next((v for k, v in element.attrib.items() if k.rpartition("}")[2] in ("embed", "id") and "}" in k), None)
+                if targets.get(rid):
+                    target = targets[rid]
+                    path = posixpath.normpath(target.lstrip("/") if target.startswith("/") else f"{folder}/{target}")
+                    if path in names:
+                        out.append((path, alt))
+            for child in element:
+                walk(child, alt, decorative)
+
+        walk(ElementTree.fromstring(package.read(part)), "", False)
+    return out
+
+
 def pictures(data: bytes) -> list[dict]:
-    """Media parts in order of name; empty for what is no package."""
+    """Pictures in the order of the document; media parts in order of name where no part shows any.
+
+    Empty for what is no package.
+    """
     try:
         package = zipfile.ZipFile(io.BytesIO(data))
     except zipfile.BadZipFile:
         return []
-    out = []
+    media = {}
     for name in sorted(package.namelist()):
         base = name.rpartition("/")[2]
         stem, _, ext = base.rpartition(".")
         if "/media/" in f"/{name.lower()}" and ext.lower() in PICTURE_EXTENSIONS:
-            out.append({"name": name, "alt": stem or base, "ext": "jpg" if ext.lower() == "jpeg" else ext.lower(), "data": package.read(name)})
-    return out
+            media[name] = (stem or base, "jpg" if ext.lower() == "jpeg" else ext.lower())
+    try:
+        shown = [(n, alt) for n, alt in _shown(package, set(package.namelist())) if n in media]
+    except (ElementTree.ParseError, ValueError):
+        shown = []
+    return [{"name": n, "alt": alt or media[n][0], "ext": media[n][1], "data": package.read(n)} for n, alt in shown or [(n, "") for n in media]]
+
+
+def office_pictures(files: DataFrame) -> DataFrame:
+    """path, pictures of office files with ``content``."""
+    ship(files.sparkSession)
+    return files.select("path", _pictures_udf()("content").alias("pictures"))
 
 
 def _tried(parse, data):
