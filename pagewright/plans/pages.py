@@ -272,7 +272,20 @@ def surgical_splice(spark, d):
     return splice_formulas(pages, first.unionByName(lost)).select("doc_id", F.sha2("md", 256).alias("md_sha256"))
 
 
-@query()
+def _hit(needle: str, cursor: str) -> str:
+    return f"({cursor} + instr(substring(plain, {cursor} + 1), {needle}))"
+
+
+@query(f"""WITH {LINED_SQL}, t AS (SELECT doc_id, page_no, line_no, min(y) AS y0, {Q.trim("string_agg(ch, '' ORDER BY x, glyph_no)")} AS text FROM lined GROUP BY ALL),
+c AS (SELECT *, array_to_string({Q.words('text')}, ' ') AS flat, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS n FROM t WHERE text <> ''),
+p AS (SELECT *, coalesce(sum(length(flat) + 1) OVER (PARTITION BY doc_id, page_no ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS begins FROM c),
+pages AS (SELECT doc_id, page_no, string_agg(flat, ' ' ORDER BY n) AS plain, min(n) FILTER (y0 >= 129.5) AS a1, list(flat ORDER BY n) AS flats, list(y0 ORDER BY n) AS tops, list(begins ORDER BY n) AS starts FROM p GROUP BY ALL),
+two AS (SELECT *, list_filter(range(1, len(flats) + 1), lambda i: tops[i] >= 189.5 AND i > a1)[1] AS a2 FROM pages),
+h AS (SELECT *, {_hit('flats[a1]', '0')} AS hit FROM two), g AS (SELECT *, {_hit('flats[a2]', '(hit - 1 + length(flats[a1]))')} AS hit2 FROM h),
+j AS (SELECT doc_id, page_no, len(list_filter(starts, lambda s: s <= hit)) AS j, len(list_filter(starts, lambda s: s <= hit2)) AS j2 FROM g),
+m AS (SELECT c.doc_id, c.page_no, string_agg(CASE WHEN n = j THEN chr(10) || chr(10) || '![](p' || c.page_no || '/img0.png)' || chr(10) || chr(10) ELSE '' END || CASE WHEN n = j2 THEN chr(10) || chr(10) || '![](p' || c.page_no || '/img1.png)' || chr(10) || chr(10) ELSE '' END || text, chr(10) ORDER BY n) AS md
+  FROM c LEFT JOIN j ON c.doc_id = j.doc_id AND c.page_no = j.page_no GROUP BY ALL)
+SELECT doc_id, page_no, len(regexp_extract_all(md, '!\\['))::INT AS n_links, sha256(md) AS md_sha256 FROM m""")
 def image_interleave(spark, d):
     """Two images on each page of text, linked before the lines that follow them."""
     from ..operators.pages import place_page_images

@@ -55,23 +55,28 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own[app]
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder that is there until the driver ends or ``forget_written`` is called."""
+    if not _written:
+        atexit.register(forget_written)
+    _written.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: a cut of lineage that survives lost executors.
 
-    It is there until the driver ends or ``forget_written`` is called, as results may read it at any time.
+    Results may read it at any time, so it stays as long as ``temporary`` has it.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(forget_written)
-    _written.append(path)
+    path = temporary(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def forget_written() -> None:
-    """Delete the intermediate tables of this driver; results that read them must be done with."""
+    """Delete the intermediate files of this driver; results that read them must be done with."""
     jvm = SparkContext._jvm
-    while _written:
+    while _written and jvm is not None:
         path = _written.pop()
         try:
             where = jvm.org.apache.hadoop.fs.Path(path)
