@@ -2,71 +2,25 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
-import zipfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import local_path, open_input, open_output, shared_dir, ship, temporary
+from ..session import written as materialize
+
+__all__ = ["local_path", "materialize", "open_input", "open_output", "shared_dir", "ship", "temporary"]
+
 #: ASCII white space of every word rule here, as Python's ``bytes.split()`` has it.
 WS = " \t\n\x0b\x0c\r"
 #: Bytes of texts that a worker takes together.
 PART_BYTES = 6 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own: dict[str, str] = {}
-_shipped: set[str] = set()
-
 
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir}/{name}.parquet"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or for a local master a folder of our own."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if where:
-        return where.rstrip("/") + "/pagewright"
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="pagewright-")
-        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-    return "file://" + _own[app]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that workers can import it wherever they run."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    into = tempfile.mkdtemp(prefix="pagewright-zip-")
-    atexit.register(shutil.rmtree, into, ignore_errors=True)
-    target = os.path.join(into, "pagewright_code.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
-        for folder, _, files in os.walk(os.path.join(root, "pagewright")):
-            for file in files:
-                if file.endswith(".py"):
-                    path = os.path.join(folder, file)
-                    out.write(path, os.path.relpath(path, root))
-    spark.sparkContext.addPyFile(target)
-    _shipped.add(app)
-
-
 def pack(df: DataFrame, **keep) -> DataFrame:
     """The whole row as struct ``__row`` beside computed columns, so that no name of the caller's can clash with ours."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), *[c.alias(k) for k, c in keep.items()])
@@ -144,30 +98,3 @@ def most_frequent(counts: DataFrame, limit: int) -> dict[str, int]:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def open_output(uri: str):
-    """A file to write in the shared folder, from a worker: plain files directly, other stores by pyarrow's file systems."""
-    if uri.startswith("file:") or "://" not in uri:
-        path = local_path(uri)
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        return open(path, "wb")
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(uri)
-    store.create_dir(path.rpartition("/")[0], recursive=True)
-    return store.open_output_stream(path)
-
-
-def open_input(uri: str):
-    """A seekable file of the shared folder, from a worker."""
-    if uri.startswith("file:") or "://" not in uri:
-        return open(local_path(uri), "rb")
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(uri)
-    return store.open_input_file(path)
-
-
-def local_path(uri: str) -> str:
-    return "/" + uri.removeprefix("file:").lstrip("/") if uri.startswith("file:") else uri

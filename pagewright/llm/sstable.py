@@ -271,7 +271,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
     """Encode every document and write the shards; returns the manifest (one row a shard), already committed."""
     spark = docs.sparkSession
     common.ship(spark)
-    folder = folder or f"{common.shared_dir(spark)}/sst-{uuid.uuid4().hex}"
+    folder = folder or common.temporary(spark, "sst")
     parts, width = parts or common.shuffle_parts(spark), id_width(tokenizer_path, end_id)
     bounds = spark.sparkContext.broadcast(range_bounds(docs, id_col, parts))
     text = F.col(f"`{text_col}`")

@@ -94,7 +94,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, date: str = "200
     """Archives of all ``pages`` (page_id, url, html); returns their index, already committed."""
     spark = pages.sparkSession
     common.ship(spark)
-    folder = folder or f"{common.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = folder or common.temporary(spark, "warc")
 
     def write(batches):
         out, path, offset = None, "", 0
