@@ -332,30 +332,40 @@ def test_op6_held_out_accuracy(spark):
     assert len(out) > 200 and np.mean([langs[r.doc_id] == r.lang_pred for r in out]) > 0.97
 
 
-def test_op6(spark, sf):
-    """Predictions and scores from the parts that the docstring names, by plain recursion over segmentations."""
-    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()]
+def languages(docs):
+    """language, score and strangeness of (doc_id, text, lang) rows by plain recursion over segmentations."""
     p = lattice.pieces(VOCAB)
-    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 4 == 2
-    train = [(t, lang) for d, t, lang in docs if not held(d) and t is not None and lang is not None]
-    langs = sorted({lang for _, lang in train})
-    lp = {}
+    lengths = {k: len(piece.lstrip(lattice.MARK)) for piece, k in p.number.items()}
+    train = [(t, lang) for d, t, lang in docs if not held_out(d) and t is not None and lang is not None]
+    langs, lp, rate = sorted({lang for _, lang in train}), {}, {}
     for lang in langs:
         n = np.where(p.usable, 0.1, 0.0)
-        for t, of in train:
-            for ids in p.segment(ws_words(lower(t))) if of == lang else ():
-                np.add.at(n, ids, 1)
+        ids = [i for t, of in train if of == lang for word in p.segment(ws_words(lower(t))) for i in word]
+        np.add.at(n, ids, 1)
         with np.errstate(divide="ignore"):
             lp[lang] = np.log(n / n.sum())
-    expected = []
+        rate[lang] = sum(lp[lang][i] for i in ids if p.usable[i]) / max(1, sum(lengths.get(i, 1) for i in ids))
+    out = []
     for d, t, _ in docs:
-        if not any(map(str.isalpha, t or "")):
-            expected.append((d, held(d), "und", 0.0))
+        if not any(map(str.isalpha, t or "")) or not langs:
+            out.append((d, held_out(d), "und", 0.0, 0.0))
             continue
-        total = np.array([math.log(sum(of == lang for _, of in train) / len(train)) + p.log_marginals(pa.array(ws_words(lower(t))), lp[lang][:, None]).sum() for lang in langs])
+        words = pa.array(ws_words(lower(t)), pa.string())
+        plain = np.array([p.log_marginals(words, lp[lang][:, None]).sum() for lang in langs])
+        total = plain + [math.log(sum(of == lang for _, of in train) / len(train)) for lang in langs]
         k = int(total.argmax())
-        expected.append((d, held(d), langs[k], round(1 / math.fsum(np.exp(total - total[k])), 6)))
-    same([(r.doc_id, r.held_out, r.lang_pred, round(r.score, 6)) for r in queries.QUERIES["op6_language_id"](spark, sf).collect()], expected)
+        out.append((d, held_out(d), langs[k], round(1 / math.fsum(np.exp(total - total[k])), 6), plain.max() / sum(map(len, ws_words(t))) / rate[langs[k]]))
+    return out
+
+
+def held_out(d):
+    return d is not None and zlib.crc32(str(d).encode()) % 4 == 2
+
+
+def test_op6(spark, sf):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    found = queries.QUERIES["op6_language_id"](spark, sf).collect()
+    same([(r.doc_id, r.held_out, r.lang_pred, round(r.score, 6)) for r in found], [r[:4] for r in languages(docs)])
 
 
 def test_language_sample_keeps_rare_ones():
@@ -572,30 +582,98 @@ def test_components(spark):
     assert out == {x: find(x) for x in root}
 
 
+def host_verdicts(rows):
+    """Which of (text, host) rows the quality rules keep."""
+    def excess(text):
+        n, chars, symbols, dup, _, failed = features(text)
+        lines = sum(bool(ws_words(x)) for x in (text or "").split("\n"))
+        over = lambda a, b: a / b if b else 0.0
+        return failed, max(over(3 * n, chars), over(chars, 12 * n), over(10 * symbols, n), over(10 * dup, 3 * lines))
+
+    judged = [(*excess(t), h) for t, h in rows]
+    n, f = Counter(h for *_, h in judged), Counter(h for failed, e, h in judged if failed or e > 1)
+    total, mean = len(judged), sum(f.values()) / max(1, len(judged))
+    spread = total - sum(x * x for x in n.values()) / max(1, total) - (len(n) - 1)
+    strength = 1e6
+    if 0 < mean < 1 and spread > 0:
+        scatter = sum(n[h] * (f[h] / n[h] - mean) ** 2 for h in n) / (mean * (1 - mean))
+        strength = 1 / min(max((scatter - (len(n) - 1)) / spread, 1e-6), 0.5) - 1
+    rate = {h: (f[h] + mean * strength) / (n[h] + strength) for h in n}
+    return [not failed and rate[h] < (1 + mean) / 2 and e <= (max(1.0, 2 * mean / rate[h]) if rate[h] else 1.0) for failed, e, h in judged]
+
+
+def without_benchmark(rows, items):
+    """Rows that stay after decontamination, their hit words cut out."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    grams = {tuple(b[i : i + min(13, len(b))]) for b in map(words, items) for i in range(len(b) - min(13, len(b)) + 1) if b}
+    out = []
+    for r in rows:
+        w, hit = words(r["text"]), set()
+        for n in {len(g) for g in grams}:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in grams:
+                    hit.update(range(i, i + n))
+        if hit and 20 * len(hit) >= len(w):
+            continue
+        text = r["text"]
+        if hit:
+            runs = [k for k in sorted(hit) if k - 1 not in hit]
+            text = decontam.excise(text, [(k, next(j for j in range(k, len(w) + 1) if j not in hit)) for k in runs])
+        out.append({**r, "text": text, "n_chars": len(text) if hit else r["n_chars"]})
+    return out
+
+
 def test_pipeline(spark, sf):
-    """Every stage against the decisions of the brute-force parts above."""
+    """Every stage's rows in full against brute force on what its predecessor kept."""
     import corpus_pipeline
+    import tiktoken
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    extra = spark.createDataFrame([(9000 + i, " ".join(f"{EN} number{i}{k}" for k in range(4)), "en", "s9", 1) for i in range(6)], docs.schema)
+    docs = docs.unionByName(extra)
+    items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     columns = docs.columns
+    rowset = lambda rows: [tuple(r[c] for c in columns) for r in rows]
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         before = [r.asDict() for r in docs.collect()]
         after = stage(spark, docs, sf)
         docs = common.materialize(after, "t")
         rows = [r.asDict() for r in docs.collect()]
+        assert before
         if k < 4:
             assert docs.columns == columns
         if k == 0:
-            assert all(not features(r["text"])[5] for r in rows)
+            same(rowset(rows), rowset(r for r, kept in zip(before, host_verdicts([(r["text"], r["source"]) for r in before])) if kept))
         if k == 1:
-            assert [r for r in rows if not any(map(str.isalpha, r["text"]))] == []
+            found = languages([(r["doc_id"], r["text"], r["lang"]) for r in before])
+            same(rowset(rows), rowset(r for r, (_, _, lang, score, strange) in zip(before, found) if lang != "und" and score >= 0.5 and strange <= 2.5))
         if k == 2:
-            root = groups([print_of(r["text"]) for r in before])
+            root = list(range(len(before)))
+            for i in range(len(before)):
+                for j in range(i):
+                    if similarity(before[i]["text"], before[j]["text"]) >= 0.8 and root[i] != root[j]:
+                        old, new = max(root[i], root[j]), min(root[i], root[j])
+                        root = [new if x == old else x for x in root]
             expected = [min((r["doc_id"] for r, x in zip(before, root) if x == g and r["doc_id"] is not None), default=None) for g in set(root)]
             same([(r["doc_id"],) for r in rows], [(d,) for d in expected])
+            assert {tuple(r.values()) for r in rows} <= {tuple(r.values()) for r in before}
         if k == 3:
-            assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in before} and all("the black cat" not in r["text"].lower() for r in rows)
+            same(rowset(rows), rowset(without_benchmark(before, items)))
     assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"]
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    expected = [(r["doc_id"], len(i := library.encode_ordinary(r["text"])), sha(" ".join(map(str, i)).encode()), sha(r["text"].encode()), tuple(i)) for r in before]
+    same([(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"], tuple(r["token_ids"])) for r in rows], expected)
+
+
+def test_pipeline_of_nothing(spark, sf, empty):
+    """Every stage takes a table without rows, and one of nulls only."""
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, empty).count() == 0
+    nulls = spark.read.parquet(f"{sf}/documents.parquet").limit(3).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in spark.read.parquet(f"{sf}/documents.parquet").schema.fields])
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, nulls, sf).count() == (0, 0, 1, 3, 3)[k]
 
 
 def test_stages_keep_extra_columns(spark, docs, sf):
