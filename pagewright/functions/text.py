@@ -30,8 +30,12 @@ def let(value, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: All characters of the Unicode property White_Space.
+WHITE = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def trim(c) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def collapse(c) -> Column:

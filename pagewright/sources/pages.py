@@ -6,6 +6,9 @@ extractor that can write lines of JSON plugs in; ``register`` makes it ``spark.r
 
 from __future__ import annotations
 
+import fnmatch
+import glob
+import io
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import geometry as G
-from ..session import ship
+from ..session import local_path, open_input, ship
 
 FIELDS = "doc_id long, page_no int, page_md string, n_images int, width double, height double, glyphs array<struct<ch:string,x:double,y:double,w:double,h:double,font:string>>"
 _GLYPH = (("ch", str), ("x", float), ("y", float), ("w", float), ("h", float), ("font", str))
@@ -24,16 +27,32 @@ class FilePartition(InputPartition):
         self.path = path
 
 
+def matching(path: str) -> list[str]:
+    """The files that a path with wildcards names, in order; a path without is itself. Other stores than plain files are
+    listed by pyarrow's file systems."""
+    if not any(c in path for c in "*?["):
+        return [path]
+    if path.startswith("file:") or "://" not in path:
+        return sorted(glob.glob(local_path(path), recursive=True))
+    from pyarrow import fs
+
+    folder = path[: path.rindex("/", 0, min(path.index(c) for c in "*?[" if c in path))]
+    store, base = fs.FileSystem.from_uri(folder)
+    prefix = folder[: len(folder) - len(base)]
+    found = (f"{prefix}{f.path}" for f in store.get_file_info(fs.FileSelector(base, recursive=True)) if f.is_file)
+    return sorted(p for p in found if fnmatch.fnmatchcase(p, path))
+
+
 class PageReader(DataSourceReader):
     def __init__(self, options):
         self.paths = [p for p in options.get("paths", options.get("path", "")).split(",") if p]
 
     def partitions(self):
-        return [FilePartition(p) for p in self.paths]
+        return [FilePartition(p) for path in self.paths for p in matching(path)]
 
     def read(self, partition):
-        with open(partition.path, encoding="utf-8") as lines:
-            for line in lines:
+        with open_input(partition.path) as file:
+            for line in io.TextIOWrapper(file, encoding="utf-8"):
                 if not line.strip():
                     continue
                 page = json.loads(line)
