@@ -218,7 +218,7 @@ def encoder(tokenizer_path: str, end_id: int, width: int, bounds):
     def encode(batches):
         import zstandard
 
-        library, cuts, pack = units.Library(tokenizer_path), bounds.value, zstandard.ZstdCompressor(level=1).compress
+        library, cuts, pack = units.library(tokenizer_path), bounds.value, zstandard.ZstdCompressor(level=1).compress
         end = end_id.to_bytes(width, "little")
         for batch in batches:
             keys, hashes = list(map(key_of, batch.column(0).to_pylist())), batch.column(2).to_pylist()
@@ -233,7 +233,6 @@ def encoder(tokenizer_path: str, end_id: int, width: int, bounds):
                 high = [bisect_right(cuts, k) for k in here]
                 part = [a + ((h + (1 << 63)) * (b - a + 1) >> 64) if b > a else a for a, b, h in zip(low, high, of)]
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(here, pa.binary()), pa.array(of, pa.int64()), pa.array(ids, pa.binary())], names=["part", "key", "hash", "ids"])
-        del library
         common.give_back()
 
     return encode

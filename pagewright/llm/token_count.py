@@ -34,7 +34,7 @@ def counter(path: str):
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda texts: np.fromiter(map(len, model.encode(texts, num_threads=1)), np.int64, len(texts))
-    library = units.Library(path)
+    library = units.library(path)
     return lambda texts: library.encode_pieces(texts).lengths
 
 

@@ -211,3 +211,13 @@ class Library:
 
     def encode(self, texts: pa.Array) -> Ragged:
         return self.pieces.encode(texts, self.apart)
+
+
+_libraries: dict[str, Library] = {}
+
+
+def library(path: str) -> Library:
+    """One for each file in a worker, over all its tasks; what it keeps is bounded."""
+    if path not in _libraries:
+        _libraries[path] = Library(path)
+    return _libraries[path]
