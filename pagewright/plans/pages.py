@@ -230,7 +230,13 @@ def box_geometry(spark, d):
     )
 
 
-@query()
+#: Runs of math glyphs of a line that stand no further apart than two and a half heights; on these pages lines with math
+#: are too far apart to stack, and runs to be one display.
+@query(f"""WITH {Q.GLYPHS}, m AS (SELECT *, 792.0 - y - h AS top, glyph_no // 96 AS row_no FROM glyphs WHERE (glyph_no // 96 % 5 = 0 AND glyph_no % 96 % 40 < 24) OR regexp_matches(ch, '{Q.MATH}')),
+b AS (SELECT *, coalesce(x - lag(x + w) OVER (PARTITION BY doc_id, page_no, row_no ORDER BY x) > 27.5, true)::INT AS brk FROM m),
+r AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id, page_no, row_no ORDER BY x) AS run FROM b),
+c AS (SELECT doc_id, page_no, min(x) AS x0, min(top) AS y0, max(x + w) AS x1, max(top + h) AS y1 FROM r GROUP BY doc_id, page_no, row_no, run HAVING count(*) >= 5)
+SELECT doc_id, page_no, (row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y0, x0) - 1)::INT AS cluster_no, 1 AS n_members, x0, y0, x1, y1 FROM c""")
 def math_clusters(spark, d):
     """Formula clusters of pages whose every fifth line is set in a math font."""
     rows = glyphs(spark, d).withColumn("font", F.when((F.floor(F.col("glyph_no") / 96) % 5 == 0) & (F.col("glyph_no") % 96 % 40 < 24), "CMMI10").otherwise(F.col("font")))
