@@ -99,13 +99,18 @@ def with_gallery(docs: DataFrame, assets: DataFrame, min_area: float = MIN_GALLE
 
     ``assets``: doc_id, img_no, src, width, height (null where the place is unknown: such images stay candidates).
     """
-    rows = assets.join(docs.select("doc_id", "md"), "doc_id")
-    inline = F.when(F.startswith("src", F.lit("data:")), F.contains("md", F.col("src"))).otherwise(F.contains("md", F.concat(F.lit("("), F.col("src"), F.lit(")"))))
     shown = F.coalesce(F.col("width") * F.col("height") >= min_area, F.lit(True))
-    left = rows.where(~F.coalesce(inline, F.lit(False)) & shown).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("img_no", "src"))).alias("__g"))
+    gathered = assets.where(shown).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("img_no", "src"))).alias("__g"))
+
+    def inline(g):
+        return F.when(F.startswith(g["src"], F.lit("data:")), F.contains("md", g["src"])).otherwise(F.contains("md", F.concat(F.lit("("), g["src"], F.lit(")"))))
+
+    # a text meets its images inside its row
+    left = F.filter("__g", lambda g: ~F.coalesce(inline(g), F.lit(False)))
+    out = docs.join(gathered, "doc_id", "left").withColumn("__g", left)
     gallery = F.array_join(F.transform("__g", lambda g: F.concat(F.lit("![]("), g["src"], F.lit(")\n"))), "")
-    out = docs.join(left, "doc_id", "left")
-    return out.withColumn("md", F.when(F.col("__g").isNull(), F.col("md")).otherwise(F.concat("md", F.lit("\n\n"), gallery))).withColumn("n_gallery", F.coalesce(F.size("__g"), F.lit(0))).drop("__g")
+    n = F.coalesce(F.size("__g"), F.lit(0))
+    return out.withColumn("md", F.when(n > 0, F.concat("md", F.lit("\n\n"), gallery)).otherwise(F.col("md"))).withColumn("n_gallery", n).drop("__g")
 
 
 def pair_pictures(docs: DataFrame, pictures: DataFrame, folder: str = "assets/office") -> DataFrame:

@@ -201,12 +201,11 @@ c AS (SELECT item_id, doc_id, count(*) AS n FROM (SELECT item_id, unnest(s) AS w
 SELECT item_id, doc_id, n::INT AS n_shared, n / (len(b.s) + len(t.s) - n)::DOUBLE AS jaccard FROM c JOIN b USING (item_id) JOIN t USING (doc_id) WHERE n / (len(b.s) + len(t.s) - n)::DOUBLE >= 0.2""")
 def token_jaccard(spark, d):
     """Documents that share at least a fifth of their tokens with a benchmark item, joined on tokens of the item."""
+    from ..operators.scoring import alike_pairs
+
     items = table(spark, d, "benchmark").select("item_id", T.token_set(F.col("text")).alias("s"))
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", T.token_set(F.col("text")).alias("s"))
-    shared = docs.select("doc_id", F.size("s").alias("n_doc"), F.explode("s").alias("w")).join(items.select("item_id", F.size("s").alias("n_item"), F.explode("s").alias("w")), "w")
-    # a fifth of all tokens in common bounds both sizes
-    near = shared.where("5 * n_doc >= n_item and 5 * n_item >= n_doc").groupBy("item_id", "doc_id", "n_doc", "n_item").agg(F.count(F.lit(1)).cast("int").alias("n_shared"))
-    return near.select("item_id", "doc_id", "n_shared", (F.col("n_shared") / (F.col("n_doc") + F.col("n_item") - F.col("n_shared"))).alias("jaccard")).where("jaccard >= 0.2")
+    return alike_pairs(docs, "doc_id", items, "item_id", 0.2)
 
 
 _SEEN_SQL = r"CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN regexp_replace(text, '[aeiou]', '', 'g') WHEN 2 THEN '' ELSE regexp_replace(text, '[a-m]+', 'zz', 'g') END"
