@@ -18,7 +18,6 @@ identifier hit words but the identifier is listed nowhere. Repeated items count
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter, defaultdict
 
 import pyarrow as pa
