@@ -55,6 +55,16 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own[app]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if it has fewer partitions than they are, as one small file has; else as it is.
+
+    For work that is dear for each row and follows without a shuffle. A large input has partitions enough and is never
+    moved; filters and columns are still pushed into its scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def temporary(spark: SparkSession, name: str) -> str:
     """A new place in the shared folder that is there until the driver ends or ``forget_written`` is called."""
     if not _written:
