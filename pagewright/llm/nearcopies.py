@@ -1,16 +1,22 @@
-"""Near copies by five-word shingles: texts whose shingle sets have a Jaccard similarity of 0.8 or more are linked.
-
-Candidates come from minima of ``BANDS * ROWS`` hash functions over a text's distinct shingles: texts that agree on all
-``ROWS`` minima of one of ``BANDS`` bands meet under its key. A pair at similarity s meets with probability
-1 - (1 - s**4)**16, which is 0.9998 at 0.8. Of those that meet, pairs with fewer than ``LEAST`` equal bytes of their 64
-minima are dropped (at 0.8 the expectation is 51); the others are verified on their texts, so no link is approximate.
-
-Texts of equal word sequences are one node from the start. Under a key only a spanning forest of candidates, by the most
-alike sketches, is verified first: if all of it holds, the group is connected as all its links would have it. Keys
-where some does not, and whose nodes are not all connected yet, are gone through again with the shingles of their texts:
-inside the task each node is compared with all candidates that it is not connected to, and a link is told where it
-connects. So what leaves a task follows the nodes and not the pairs. Keys with more than ``BLOCK`` nodes, or in the
-second pass more than ``BLOCK_BYTES`` of shingles, are dealt out as pairs of blocks.
+"""Near copies by SimHash with Golay-code fuzzy hashing: texts whose sets of five-word shingles have a Jaccard similarity
+of 0.8 or more are linked.
+
+At that similarity the fingerprints differ in some 15 % of their bits, 6 to 13 of 64, which the three segments of the op10
+query do not reach. So a fingerprint has ``TABLES`` times two segments of 23 bits, and 128 bits of their own to compare.
+A segment's keys are the codewords of the extended Golay code (24, 12, 8) within four of it; texts that share a key of
+both segments of one table meet. Two segments share a key with probability 0.62 at 0.8 (simulated on sets of 18 to 297
+shingles), so a pair meets with 1 - (1 - 0.62**2)**18, which is 0.9998. Of those that meet, pairs with more than ``MOST``
+of 128 bits apart are dropped (at 0.8 the expectation is 19); the others are verified on their texts, so no link is
+approximate.
+
+Rows are dealt by table and key of the first segment only, 96 a text; the second segment's keys are made in the task.
+
+Texts of equal word sequences are one node from the start. Of the candidates in a bucket only a spanning forest, by the
+most alike fingerprints, is verified first: if all of it holds, the group is connected as all its links would have it.
+Where some does not and leaves groups apart, all nodes of those groups are gone through again with the shingles of their
+texts: inside the task each node is compared with all candidates that it is not connected to, and a link is told where it
+connects. So what leaves a task follows the nodes and not the pairs. Buckets with more than ``BUCKET`` nodes, and in the
+second pass groups with more than ``BLOCK`` nodes or ``BLOCK_BYTES`` of shingles, are dealt out as pairs of blocks.
 
 Words are lower-cased A to Z and separated by ASCII white space. A text of fewer than five words is one shingle; texts
 without words, and null texts, are one node that is like no other.
@@ -23,13 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, golay
 from .components import components
 
-WIDTH, SEED, BANDS, ROWS, LEAST, BLOCK, BLOCK_BYTES, MAX_SENT = 5, 42, 16, 4, 38, 2048, 16 << 20, 2_000_000
-HASHES = BANDS * ROWS
-_random = np.random.default_rng(SEED)
-TIMES, MASK = _random.integers(0, 1 << 63, HASHES, np.uint64) << np.uint64(1) | np.uint64(1), _random.integers(0, 1 << 63, HASHES, np.uint64)
+WIDTH, SEED, TABLES, SEGMENT, MOST, BUCKET, BLOCK, BLOCK_BYTES, MAX_SENT = 5, 42, 18, 23, 38, 65536, 2048, 16 << 20, 2_000_000
+#: Bytes of a fingerprint that are compared; the segments follow them.
+HASHES = 16
+WORDS = -(-(8 * HASHES + 2 * TABLES * SEGMENT) // 64)
+SMALL_RUN, PLAIN_RUN = 64, 1024
+ADD = np.random.default_rng(SEED).integers(0, 1 << 63, WORDS, np.uint64)
+TIMES = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
 
 def shingles(words: list[bytes]) -> set[bytes]:
@@ -47,68 +56,180 @@ def alike(a: str | None, b: str | None) -> bool:
     return 5 * both >= 4 * (len(x) + len(y) - both) > 0
 
 
-def sketch(text: str | None) -> tuple[int, bytes, list[int]]:
-    """The node (a hash of all words), a byte of each minimum, and the keys of the bands; no keys without words."""
+def wide_print(hashes: np.ndarray) -> bytes:
+    """The SimHash of some shingles: a bit is 1 if set in over half of what each hash is spread to."""
+    ones = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(hashes), 1020):
+        spread = (hashes[at : at + 1020, None] + ADD) * TIMES[0]
+        spread = (spread ^ spread >> np.uint64(32)) * TIMES[1]
+        bits = np.unpackbits((spread ^ spread >> np.uint64(29)).view(np.uint8), axis=1)
+        for k in range(0, len(bits), 255):
+            ones += bits[k : k + 255].sum(0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(hashes)).tobytes()
+
+
+def sketch(text: str | None) -> tuple[int, bytes | None]:
+    """The node (a hash of all words) and the fingerprint; none without words."""
     import xxhash
 
     words = (text or "").encode().lower().split()
     node = int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), SEED)).astype(np.int64))
     found = shingles(words)
-    if not found:
-        return node, bytes(HASHES), []
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in found), np.uint64, len(found))
-    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        least = np.minimum(least, ((hashes[at : at + 4096, None] ^ MASK) * TIMES).min(0))
-    data = least.tobytes()
-    keys = np.array([digest(data[8 * ROWS * k : 8 * ROWS * (k + 1)], k) for k in range(BANDS)], np.uint64).view(np.int64)
-    return node, (least >> np.uint64(24)).astype(np.uint8).tobytes(), keys.tolist()
+    return node, wide_print(np.fromiter((digest(s, SEED) for s in found), np.uint64, len(found))) if found else None
 
 
 def with_sketch(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` packed as ``__row`` beside ``node``, ``sig`` and ``bands``."""
+    """``docs`` packed as ``__row`` beside ``node`` and ``print``."""
     common.ship(docs.sparkSession)
+    place = docs.columns.index(text_col)
 
     def scan(batches):
         for batch in batches:
-            found = [sketch(t.as_py()) for t in batch.column(1)]
-            nodes, sigs, bands = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["__row", "node", "sig", "bands"])
+            found = [sketch(t.as_py()) for t in common.field(batch, place)]
+            nodes, prints = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(prints, pa.binary())], names=["__row", "node", "print"])
+
+    rows = common.pack(docs)
+    return rows.mapInArrow(scan, rows.select("__row", F.lit(0).cast("long").alias("node"), F.lit(None).cast("binary").alias("print")).schema)
+
 
-    rows = common.pack(docs, __text=F.col(f"`{text_col}`"))
-    schema = rows.select("__row", F.lit(0).cast("long").alias("node"), F.lit(b"").alias("sig"), F.expr("cast(array() as array<bigint>)").alias("bands")).schema
-    return rows.mapInArrow(scan, schema)
+def segments(prints: np.ndarray) -> np.ndarray:
+    """The values of the segments, by row, table and place, of fingerprints as rows of bytes."""
+    bits = np.unpackbits(prints[:, HASHES:], axis=1, count=2 * TABLES * SEGMENT)
+    return (bits.reshape(-1, TABLES, 2, SEGMENT) @ (1 << np.arange(SEGMENT))).astype(np.int64)
+
+
+def first_keys(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of an array of fingerprints: themselves as rows of bytes, then row, key (table and codeword) and second segment."""
+    prints = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 8 * WORDS)
+    values = segments(prints)
+    words = golay.segment_keys(values[:, :, 0].ravel()).reshape(-1, TABLES, 6)
+    row, table, place = np.nonzero(words >= 0)
+    return prints, row, (table << 12) + words[row, table, place], values[row, table, 1]
+
+
+def bucket_rows(nodes: DataFrame) -> DataFrame:
+    """``key, rest, node, s0, s1`` of nodes with a fingerprint: a row for each codeword near the first segment."""
+
+    def make(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                prints, row, key, rest = first_keys(part.column(1))
+                ids, sig = part.column(0).to_numpy(), np.ascontiguousarray(prints[:, :HASHES]).view(np.int64)
+                arrays = [key.astype(np.int32), rest.astype(np.int32), ids[row], sig[row, 0], sig[row, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["key", "rest", "node", "s0", "s1"])
+
+    return nodes.where("print is not null").select("node", "print").mapInArrow(make, "key int, rest int, node long, s0 long, s1 long")
+
+
+def bucket_sizes(nodes: DataFrame) -> DataFrame:
+    """``key, c``: the rows of each bucket, counted where they are made."""
+
+    def count(batches):
+        sizes = np.zeros(TABLES << 12, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                sizes += np.bincount(first_keys(batch.column(0).slice(at, 512))[2], minlength=len(sizes))
+        keys = np.flatnonzero(sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(sizes[keys])], names=["key", "c"])
+
+    return nodes.where("print is not null").select("print").mapInArrow(count, "key int, c long").groupBy("key").agg(F.sum("c").alias("c"))
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints as rows of bytes or whole numbers."""
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
 def candidates(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of one run: a spanning forest of its candidates that prefers the most alike sketches."""
+    """Index pairs of one run: a spanning forest of its candidates that prefers the most alike fingerprints; in a run of
+    more than ``PLAIN_RUN`` any spanning forest."""
     a, b = [], []
+    if len(sigs) > PLAIN_RUN:
+        left = np.arange(len(sigs))
+        while len(left) > 1:
+            queue, left = [int(left[0])], left[1:]
+            while queue and len(left):
+                node = queue.pop()
+                close = apart(sigs[left], sigs[node]) <= MOST
+                a += [node] * int(close.sum())
+                b += left[close].tolist()
+                queue += left[close].tolist()
+                left = left[~close]
+        return np.array(a, np.int64), np.array(b, np.int64)
     left = np.arange(1, len(sigs))
-    alike_most, link = (sigs[left] == sigs[0]).sum(1), np.zeros(len(left), np.int64)
+    least, link = apart(sigs[left], sigs[0]), np.zeros(len(left), np.int64)
     while len(left):
-        k = int(alike_most.argmax())
+        k = int(least.argmin())
         new = int(left[k])
-        if alike_most[k] >= LEAST:
+        if least[k] <= MOST:
             a.append(int(link[k]))
             b.append(new)
-        left, alike_most, link = np.delete(left, k), np.delete(alike_most, k), np.delete(link, k)
-        equal = (sigs[left] == sigs[new]).sum(1)
-        more = equal > alike_most
-        alike_most[more], link[more] = equal[more], new
+        left, least, link = np.delete(left, k), np.delete(least, k), np.delete(link, k)
+        now = apart(sigs[left], sigs[new])
+        less = now < least
+        least[less], link[less] = now[less], new
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
+def bucket_forest(bucket: np.ndarray, rest: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of rows in whole buckets: in each a spanning forest of those that share a key of the second segment
+    and have at most ``MOST`` bits apart, the most alike first."""
+    words = golay.segment_keys(rest)
+    row, place = np.nonzero(words >= 0)
+    entry = (bucket[row] << 12) + words[row, place]
+    order = np.argsort(entry, kind="stable")
+    entry, row = entry[order], row[order]
+    starts = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
+    sizes = np.diff(np.append(starts, len(entry)))
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    small = np.repeat((sizes > 1) & (sizes <= SMALL_RUN), sizes)
+    of, at = entry[small], row[small]
+    for k in range(1, SMALL_RUN):
+        same = np.flatnonzero(of[k:] == of[: len(of) - k]) if k < len(of) else of[:0]
+        if not len(same):
+            break
+        x, y = at[same], at[same + k]
+        near = apart(sigs[x], sigs[y]) <= MOST
+        a.append(x[near])
+        b.append(y[near])
+    seen = set()
+    for start, size in zip(starts[sizes > SMALL_RUN], sizes[sizes > SMALL_RUN]):
+        run = row[start : start + size]
+        if (mark := run.tobytes()) not in seen:  # near copies often share all their keys
+            seen.add(mark)
+            x, y = candidates(sigs[run])
+            a.append(run[x])
+            b.append(run[y])
+    x, y = np.concatenate(a), np.concatenate(b)
+    if not len(x):
+        return x, y
+    x, y = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+    order = np.argsort(apart(sigs[x], sigs[y]), kind="stable")
+    root, kept = {}, []
+    for k, i, j in zip(order.tolist(), x[order].tolist(), y[order].tolist()):
+        while (up := root.get(i, i)) != i:
+            root[i] = i = root.get(up, up)
+        while (up := root.get(j, j)) != j:
+            root[j] = j = root.get(up, up)
+        if i != j:
+            root[i] = j
+            kept.append(k)
+    return x[kept], y[kept]
+
+
 def connect(nodes: np.ndarray, labels: np.ndarray, sigs: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
     """Links of one run that connect its labels as all links would: every pair of two labels is compared, most alike
-    sketches first, unless what is connected before makes it needless. ``flat``: sorted shingles, ``sizes`` of each."""
+    fingerprints first, unless what is connected before makes it needless. ``flat``: sorted shingles, ``sizes`` of each."""
     _, own = np.unique(labels, return_inverse=True)
     root, ends, links = own.copy(), np.cumsum(sizes), []
     largest = np.bincount(own).argmax()
     for i in np.flatnonzero(own != largest).tolist():
         other = np.flatnonzero((root != root[i]) & (5 * np.minimum(sizes, sizes[i]) >= 4 * np.maximum(sizes, sizes[i])))
-        equal = (sigs[other] == sigs[i]).sum(1)
-        other = other[np.argsort(-equal, kind="stable")][: int((equal >= LEAST).sum())]
+        bits = apart(sigs[other], sigs[i])
+        other = other[np.argsort(bits, kind="stable")][: int((bits <= MOST).sum())]
         mine = flat[ends[i] - sizes[i] : ends[i]]
         at = 0
         while at < len(other):
@@ -128,25 +249,15 @@ def connect(nodes: np.ndarray, labels: np.ndarray, sigs: np.ndarray, flat: np.nd
 
 
 def run_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Forests of candidates under equal keys, from ``keys.., node, sig``; a run has ``BLOCK`` rows twice at most."""
-
-    def emit(key, nodes, sigs, told):
-        a, b = [], []
-        starts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
-        sizes = np.diff(np.append(starts, len(nodes)))
-        two = starts[sizes == 2]  # most runs that have any pair
-        good = (sigs[two] == sigs[two + 1]).sum(1) >= LEAST
-        a.append(two[good])
-        b.append(two[good] + 1)
-        for start, size in zip(starts[sizes > 2], sizes[sizes > 2]):
-            x, y = candidates(sigs[start : start + size])
-            a.append(x + start)
-            b.append(y + start)
-        x, y = nodes[np.concatenate(a)], nodes[np.concatenate(b)]
-        if not len(x):
-            return
+    """Forests of candidates under equal keys, from ``keys.., rest, node, s0, s1``; a bucket has ``BUCKET`` rows twice at most."""
+    wide = len(keys)
+
+    def emit(rows, told):
+        bucket = np.concatenate([[0], np.cumsum((rows[:wide, 1:] != rows[:wide, :-1]).any(0))])
+        x, y = bucket_forest(bucket, rows[wide], np.ascontiguousarray(rows[wide + 2 :].T).view(np.uint64))
+        x, y = rows[wide + 1, x], rows[wide + 1, y]
         pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-        if len(told) > 500_000:
+        if len(told) > 200_000:
             told.clear()
         fresh = [p for p in map(tuple, pairs.tolist()) if p not in told]
         told.update(fresh)
@@ -158,36 +269,33 @@ def run_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            numbers = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(len(keys) + 1)])
-            sigs = np.frombuffer(b"".join(batch.column(len(keys) + 1).to_pylist()), np.uint8).reshape(-1, HASHES)
-            if kept is not None:
-                numbers, sigs = np.concatenate([kept[0], numbers], 1), np.concatenate([kept[1], sigs])
-            key = numbers[: len(keys)]
-            last = int(np.argmax((key == key[:, -1:]).all(0)))
+            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(wide + 4)])
+            rows = rows if kept is None else np.concatenate([kept, rows], 1)
+            last = int(np.argmax((rows[:wide] == rows[:wide, -1:]).all(0)))
             if last:
-                yield from emit(key[:, :last], numbers[-1, :last], sigs[:last], told)
-            kept = numbers[:, last:], sigs[last:]
+                yield from emit(rows[:, :last], told)
+            kept = rows[:, last:]
         if kept is not None:
-            yield from emit(kept[0][: len(keys)], kept[0][-1], kept[1], told)
+            yield from emit(kept, told)
 
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "node").select(*keys, "node", "sig")
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "rest", "node", "s0", "s1")
     return dealt.mapInArrow(scan, "a long, b long").distinct()
 
 
 def run_links(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Verified links under equal keys that connect all that links do, from ``keys.., node, label, sig, shingles``."""
+    """Labels that verified links under equal keys connect as all links would, from ``keys.., label, sig, shingles``."""
 
     def settle(run):
-        if len(run) < 2 or len({r[1] for r in run}) < 2:
+        if len(run) < 2 or len({r[0] for r in run}) < 2:
             return []
-        sizes = np.array([len(r[3]) // 8 for r in run])
-        sigs = np.frombuffer(b"".join(r[2] for r in run), np.uint8).reshape(-1, HASHES)
-        return connect(np.array([r[0] for r in run]), np.array([r[1] for r in run]), sigs, np.frombuffer(b"".join(r[3] for r in run), "<u8"), sizes)
+        labels, sizes = np.array([r[0] for r in run]), np.array([len(r[2]) // 8 for r in run])
+        sigs = np.frombuffer(b"".join(r[1] for r in run), np.uint8).reshape(-1, HASHES)
+        return connect(labels, labels, sigs, np.frombuffer(b"".join(r[2] for r in run), "<u8"), sizes)
 
     def scan(batches):
         last, run, found = None, [], []
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(len(keys) + 4))):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(len(keys) + 3))):
                 if row[: len(keys)] != last:
                     found += settle(run)
                     last, run = row[: len(keys)], []
@@ -198,14 +306,13 @@ def run_links(rows: DataFrame, keys: list[str]) -> DataFrame:
         found = settle(run)
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "node").select(*keys, "node", "label", "sig", "shingles")
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "label", "sig", "shingles")
     return dealt.mapInArrow(scan, "a long, b long").distinct()
 
 
-def by_blocks(keyed: DataFrame, blocks, find) -> DataFrame:
-    """``find(rows, keys)`` under each ``key``; where ``blocks``, an aggregate, is more than 1, by pairs of so many blocks."""
-    heavy = keyed.groupBy("key").agg(blocks.cast("int").alias("n")).where("n > 1")
-    heavy = common.materialize(heavy, "heavy-bands")
+def by_blocks(keyed: DataFrame, blocks: DataFrame, find) -> DataFrame:
+    """``find(rows, keys)`` under each ``key``; where ``blocks`` has an ``n`` of more than 1, by pairs of so many blocks."""
+    heavy = common.materialize(blocks.select("key", F.col("n").cast("int").alias("n")).where("n > 1"), "heavy-buckets")
     if heavy.isEmpty():
         return find(keyed, ["key"])
     heavy = F.broadcast(heavy) if common.bounded(heavy, 200_000) else heavy
@@ -254,29 +361,31 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, text_col: str)
     return common.materialize(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, good boolean"), "verified")
 
 
-def node_groups(rows: DataFrame, text_col: str = "text", block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``node``, ``root`` of nodes linked to others, from written rows with ``__row, node, sig, bands, rid``."""
-    nodes = rows.groupBy("node").agg(F.min("rid").alias("rid"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+def node_groups(rows: DataFrame, text_col: str = "text", block: int = BLOCK, block_bytes: int = BLOCK_BYTES, bucket: int = BUCKET) -> DataFrame:
+    """``node``, ``root`` of nodes linked to others, from written rows with ``__row, node, print, rid``."""
+    nodes = rows.groupBy("node").agg(F.min("rid").alias("rid"), F.first("print").alias("print"))
     nodes = common.materialize(nodes, "nodes")
-    keyed = nodes.select(F.explode("bands").alias("key"), "node", "sig")
-    pairs = common.materialize(by_blocks(keyed, F.ceil(F.count(F.lit(1)) / block), run_pairs), "candidates")
+    sizes = bucket_sizes(nodes).select("key", F.ceil(F.col("c") / bucket).alias("n"))
+    pairs = common.materialize(by_blocks(bucket_rows(nodes), sizes, run_pairs), "candidates")
     first = verified(pairs, rows, nodes, text_col)
-    links, refused = first.where("good").select("a", "b"), first.where("not good")
-    groups = common.materialize(components(links).select("node", "root"), "groups")
+    groups = common.materialize(components(first.where("good").select("a", "b")).select("node", "root"), "groups")
+    root = [groups.select(F.col("node").alias(end), F.col("root").alias("of_" + end)) for end in ("a", "b")]
+    refused = first.where("not good").join(root[0], "a", "left").join(root[1], "b", "left")
+    refused = refused.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b").distinct()
+    refused = common.materialize(refused, "apart")
     if refused.isEmpty():
         return groups
-    bands = [nodes.select(F.col("node").alias(end), F.col("bands").alias("of_" + end)) for end in ("a", "b")]
-    again = refused.join(bands[0], "a").join(bands[1], "b").select(F.explode(F.array_intersect("of_a", "of_b")).alias("key")).distinct()
-    again = common.materialize(again, "keys-again")
-    again = F.broadcast(again) if common.bounded(again, MAX_SENT) else again
-    rest = keyed.join(again, "key", "left_semi").join(groups, "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"), "sig")
-    rest = common.materialize(rest, "bands-again")
-    mixed = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    mixed = common.materialize(rest.join(F.broadcast(mixed) if common.bounded(mixed, MAX_SENT) else mixed, "key", "left_semi"), "mixed-bands")
-    found = common.materialize(shingles_of(texts_of(mixed.select("node").distinct(), rows, nodes, text_col)), "shingles")
-    whole = common.materialize(mixed.join(found, "node"), "bands-with-shingles")
+    again = components(refused).select(F.col("node").alias("label"), F.col("root").alias("key"))
+    again = common.materialize(again, "groups-again")
+    few = F.broadcast(again) if common.bounded(again, MAX_SENT) else again
+    rest = nodes.select("node", F.substring("print", 1, HASHES).alias("sig")).join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "sig")
+    rest = common.materialize(rest.join(few, "label").select("key", "node", "label", "sig"), "nodes-again")
+    found = shingles_of(texts_of(rest.select("node").distinct(), rows, nodes, text_col))
+    whole = common.materialize(rest.join(found, "node"), "nodes-with-shingles")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum(F.octet_length("shingles")) / block_bytes))
-    second = common.materialize(by_blocks(whole, blocks, run_links), "links-again")
+    second = common.materialize(by_blocks(whole, whole.groupBy("key").agg(blocks.alias("n")), run_links), "links-again")
     if second.isEmpty():
         return groups
-    return common.materialize(components(links.unionByName(second)).select("node", "root"), "groups")
+    joined = components(second).select(F.col("node").alias("label"), F.col("root").alias("top"))
+    every = groups.unionByName(second.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(groups, "node", "left_anti").select("node", F.col("node").alias("root")))
+    return common.materialize(every.join(joined, every.root == F.col("label"), "left").select("node", F.coalesce("top", "root").alias("root")), "groups")

@@ -748,6 +748,55 @@ def test_near_copies_by_shingles(spark, block):
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(root)
 
 
+def edited(rng, n, edits):
+    """Copies of a random text, each with some of its words replaced."""
+    base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+    for count in edits:
+        copy = list(base)
+        for at in rng.sample(range(n), count):
+            copy[at] = f"x{rng.randrange(5000)}"
+        yield " ".join(copy)
+
+
+@pytest.mark.parametrize("bucket", [3, 65536])
+def test_near_copies_by_golay_keys(spark, bucket):
+    """Pairs at 0.8 share a codeword within four of both segments of a table, by all codewords; split buckets lose no group."""
+    rng = random.Random(13)
+    texts = [t for _ in range(10) for t in edited(rng, 150, (0, 0, 2, 4, 5, 6))] + [None, "", "one two", "ONE  two"]
+    words = simhash.golay_codewords()
+    extended = lambda v: v << 1 | v.bit_count() & 1
+    near = lambda v: {k for k in np.flatnonzero(np.bitwise_count(words ^ np.uint32(extended(v))) <= 4).tolist()}
+    prints = [nearcopies.sketch(t)[1] for t in texts[:18]]
+    keys = [[[near(int(v)) for v in pair] for pair in of] for of in nearcopies.segments(np.array([list(p) for p in prints], np.uint8))]
+    root, far = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if nearcopies.alike(texts[i], texts[j]):
+                if i < 18:
+                    far += prints[i] != prints[j]
+                    assert any(all(a & b for a, b in zip(x, y)) for x, y in zip(keys[i], keys[j]))
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if x == old else x for x in root]
+    assert far > 4
+    root[-3] = root[-4]  # texts without words are one node
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = common.materialize(nearcopies.with_sketch(docs).withColumn("rid", F.monotonically_increasing_id()), "t")
+    of = {r.node: r.root for r in nearcopies.node_groups(rows, bucket=bucket).collect()}
+    mine = {r.doc_id: of.get(r.node, r.node) for r in rows.select("__row.doc_id", "node").collect()}
+    assert len({(mine[i], root[i]) for i in mine}) == len(set(mine.values())) == len(set(root))
+
+
+def test_bucket_forest_connects_all_candidates():
+    """Runs below and beyond the sizes that are compared pair by pair: the components of all candidates, and no loop."""
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 1 << 63, (6, 2), np.uint64)
+    for copies in (20, 150, 1300):
+        of = np.concatenate([np.repeat(0, copies), rng.integers(1, 6, 40)])
+        sigs = centres[of] ^ (np.uint64(1) << rng.integers(0, 63, (len(of), 2), np.uint64))
+        x, y = nearcopies.bucket_forest(np.zeros(len(of), np.int64), np.where(of < 3, 77, 1234567), sigs)
+        assert (of[x] == of[y]).all() and len(x) == len(of) - len(set(of))
+
+
 def test_hot_template_keeps_support(spark):
     """A template of 15 tokens, with 2^15 - 1 antecedents of equal support, drives out no other rule."""
     hot = "http://a.b.c.spam.com/p/q/r/s/t/u/v?x=1&y=2&z=3"
