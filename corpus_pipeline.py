@@ -23,21 +23,25 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned from the labelled ones, and no stranger than those by far."""
+    common.small_batches(spark)
     return langid.keep_identified(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest identifier, of each group of texts that five-word shingles link at 0.8."""
+    common.small_batches(spark)
     return simhash.keep_one(docs)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """No contaminated documents; benchmark passages too short to condemn a document are cut out of it."""
+    common.small_batches(spark)
     return decontam.decontaminate(docs, spark.read.parquet(common.table_path(sf_dir, "benchmark")))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids themselves."""
+    common.small_batches(spark)
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.bpe_encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, with_ids=True).drop("text")
 

@@ -14,6 +14,8 @@ __all__ = ["local_path", "materialize", "open_input", "open_output", "shared_dir
 WS = " \t\n\x0b\x0c\r"
 #: Bytes of texts that a worker takes together.
 PART_BYTES = 6 << 20
+#: Bytes of an Arrow batch where Spark's own limit holds. Executor and worker hold a batch in and one out each, for every core.
+BATCH_BYTES = 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -30,6 +32,13 @@ def unpack(df: DataFrame) -> DataFrame:
     return df.select("__row.*")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by ``BATCH_BYTES``, unless a limit other than Spark's own was set."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in (None, f"{64 << 20}b"):
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def field(batch, name_or_place):
     """A column of the caller's row in an Arrow batch of packed rows, so that no value is sent twice."""
     return batch.column(0).field(name_or_place)

@@ -681,6 +681,22 @@ def test_stages_keep_extra_columns(spark, docs, sf):
         assert stage(docs).columns == docs.columns and stage(docs).count() <= docs.count()
 
 
+def test_stages_bound_arrow_batches(spark, docs, sf):
+    """What executor and worker hold of a batch is 8 MB, unless the caller has set a limit."""
+    import corpus_pipeline
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, expected in ((None, 8 << 20), (f"{1 << 20}b", 1 << 20)):
+            for _, stage in corpus_pipeline.STAGES[2:]:
+                spark.conf.set(name, given) if given else spark.conf.unset(name)
+                stage(spark, docs.limit(0), sf)
+                assert spark.conf.get(name) == f"{expected}b"
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_sql_of_queries(spark, sf):
     import duckdb
 
