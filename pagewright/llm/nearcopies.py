@@ -2,21 +2,23 @@
 of 0.8 or more are linked.
 
 At that similarity the fingerprints differ in some 15 % of their bits, 6 to 13 of 64, which the three segments of the op10
-query do not reach. So a fingerprint has ``TABLES`` times two segments of 23 bits, and 128 bits of their own to compare.
-A segment's keys are the codewords of the extended Golay code (24, 12, 8) within four of it; texts that share a key of
-both segments of one table meet. Two segments share a key with probability 0.62 at 0.8 (simulated on sets of 18 to 297
-shingles), so a pair meets with 1 - (1 - 0.62**2)**18, which is 0.9998. Of those that meet, pairs with more than ``MOST``
-of 128 bits apart are dropped (at 0.8 the expectation is 19); the others are verified on their texts, so no link is
-approximate.
-
-Rows are dealt by table and key of the first segment only, 96 a text; the second segment's keys are made in the task.
-
-Texts of equal word sequences are one node from the start. Of the candidates in a bucket only a spanning forest, by the
-most alike fingerprints, is verified first: if all of it holds, the group is connected as all its links would have it.
-Where some does not and leaves groups apart, all nodes of those groups are gone through again with the shingles of their
-texts: inside the task each node is compared with all candidates that it is not connected to, and a link is told where it
-connects. So what leaves a task follows the nodes and not the pairs. Buckets with more than ``BUCKET`` nodes, and in the
-second pass groups with more than ``BLOCK`` nodes or ``BLOCK_BYTES`` of shingles, are dealt out as pairs of blocks.
+query do not reach. So a fingerprint has ``TABLES`` times one first segment and ``RESTS`` others of 23 bits, and 128 bits of
+their own to compare. A segment's keys are the codewords of the extended Golay code (24, 12, 8) within four of it; texts
+meet that share a key of a table's first segment and of one of its others. Two segments share a key with probability 0.62
+at 0.8 (simulated on sets of 18 to 297 shingles), so a pair meets with 1 - (1 - 0.62 * (1 - 0.38**4))**10, which is 0.9999.
+Of those that meet, pairs with more than ``NEAR`` bits apart are dropped, of the 64 and 4 * 23 that a row has (at 0.8 the
+expectation is 23).
+
+Rows are dealt by table and key of the first segment only, 53 a text; the other segments' keys are made in the task. Nodes
+go by the number of a row with their text, which rows near each other share but for its end and so take little in a shuffle.
+
+Texts of equal word sequences are one node from the start. A bucket tells a spanning forest of its candidates, the most
+alike fingerprints first, without those that share an earlier key of the same first segment: their bucket has connected them.
+Their components are groups whose texts are moved once, and
+compared inside one task: each node with all candidates that it is not connected to yet, by the shingles of both. A link is
+told where it connects, so what leaves a task follows the nodes and not the pairs. Groups with more than ``BLOCK`` nodes or
+``BLOCK_BYTES`` of texts are first gone through by their forest alone, verified on the texts; only those that it leaves apart
+are dealt out as pairs of blocks. So are buckets with more than ``BUCKET`` nodes.
 
 Words are lower-cased A to Z and separated by ASCII white space. A text of fewer than five words is one shingle; texts
 without words, and null texts, are one node that is like no other.
@@ -32,10 +34,12 @@ from pyspark.sql import functions as F
 from . import common, golay
 from .components import components
 
-WIDTH, SEED, TABLES, SEGMENT, MOST, BUCKET, BLOCK, BLOCK_BYTES, MAX_SENT = 5, 42, 18, 23, 38, 65536, 2048, 16 << 20, 2_000_000
+WIDTH, SEED, TABLES, RESTS, SEGMENT, BUCKET, BLOCK, BLOCK_BYTES, MAX_SENT = 5, 42, 10, 4, 23, 65536, 2048, 16 << 20, 2_000_000
 #: Bytes of a fingerprint that are compared; the segments follow them.
 HASHES = 16
-WORDS = -(-(8 * HASHES + 2 * TABLES * SEGMENT) // 64)
+#: Bits that candidates may have apart: of a bucket's rows, and of ``HASHES`` bytes (19 expected at 0.8).
+NEAR, MOST = 45, 38
+WORDS = -(-(8 * HASHES + (1 + RESTS) * TABLES * SEGMENT) // 64)
 SMALL_RUN, PLAIN_RUN = 64, 1024
 ADD = np.random.default_rng(SEED).integers(0, 1 << 63, WORDS, np.uint64)
 TIMES = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
@@ -94,34 +98,42 @@ def with_sketch(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.mapInArrow(scan, rows.select("__row", F.lit(0).cast("long").alias("node"), F.lit(None).cast("binary").alias("print")).schema)
 
 
+def places(prints: np.ndarray) -> np.ndarray:
+    """The values of the segments, by row, table and place (first, then the others), of fingerprints as rows of bytes."""
+    bits = np.unpackbits(prints[:, HASHES:], axis=1, count=(1 + RESTS) * TABLES * SEGMENT)
+    return (bits.reshape(-1, TABLES, 1 + RESTS, SEGMENT) @ (1 << np.arange(SEGMENT))).astype(np.int64)
+
+
 def segments(prints: np.ndarray) -> np.ndarray:
-    """The values of the segments, by row, table and place, of fingerprints as rows of bytes."""
-    bits = np.unpackbits(prints[:, HASHES:], axis=1, count=2 * TABLES * SEGMENT)
-    return (bits.reshape(-1, TABLES, 2, SEGMENT) @ (1 << np.arange(SEGMENT))).astype(np.int64)
+    """By row the pairs of segments that meet if both share a key: a table's first with each of its others."""
+    values = places(prints)
+    return np.stack(np.broadcast_arrays(values[:, :, :1], values[:, :, 1:]), -1).reshape(len(prints), TABLES * RESTS, 2)
 
 
 def first_keys(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of an array of fingerprints: themselves as rows of bytes, then row, key (table and codeword) and second segment."""
+    """Of an array of fingerprints: themselves as rows of bytes, then row, key (table and codeword) and the table's segments."""
     prints = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 8 * WORDS)
-    values = segments(prints)
+    values = places(prints)
     words = golay.segment_keys(values[:, :, 0].ravel()).reshape(-1, TABLES, 6)
     row, table, place = np.nonzero(words >= 0)
-    return prints, row, (table << 12) + words[row, table, place], values[row, table, 1]
+    return prints, row, (table << 12) + words[row, table, place], values[row, table]
 
 
 def bucket_rows(nodes: DataFrame) -> DataFrame:
-    """``key, rest, node, s0, s1`` of nodes with a fingerprint: a row for each codeword near the first segment."""
+    """``key, r0, r1, node, sig`` of nodes with a fingerprint: a row for each codeword near the first segment. The other
+    segments are packed by two with half of the first above them, and eight bytes are there to compare."""
 
     def make(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                prints, row, key, rest = first_keys(part.column(1))
-                ids, sig = part.column(0).to_numpy(), np.ascontiguousarray(prints[:, :HASHES]).view(np.int64)
-                arrays = [key.astype(np.int32), rest.astype(np.int32), ids[row], sig[row, 0], sig[row, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["key", "rest", "node", "s0", "s1"])
+                prints, row, key, of = first_keys(part.column(1))
+                r0, r1 = ((of[:, 0] & 4095, of[:, 0] >> 12)[k] << 2 * SEGMENT | of[:, 2 * k + 1] << SEGMENT | of[:, 2 * k + 2] for k in (0, 1))
+                ids, sig = part.column(0).to_numpy(), np.ascontiguousarray(prints[:, :8]).view(np.int64)[:, 0]
+                arrays = [key.astype(np.int32), r0, r1, ids[row], sig[row]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["key", "r0", "r1", "node", "sig"])
 
-    return nodes.where("print is not null").select("node", "print").mapInArrow(make, "key int, rest int, node long, s0 long, s1 long")
+    return nodes.where("print is not null").select("node", "print").mapInArrow(make, "key int, r0 long, r1 long, node long, sig long")
 
 
 def bucket_sizes(nodes: DataFrame) -> DataFrame:
@@ -153,7 +165,7 @@ def candidates(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             queue, left = [int(left[0])], left[1:]
             while queue and len(left):
                 node = queue.pop()
-                close = apart(sigs[left], sigs[node]) <= MOST
+                close = apart(sigs[left], sigs[node]) <= NEAR
                 a += [node] * int(close.sum())
                 b += left[close].tolist()
                 queue += left[close].tolist()
@@ -164,7 +176,7 @@ def candidates(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     while len(left):
         k = int(least.argmin())
         new = int(left[k])
-        if least[k] <= MOST:
+        if least[k] <= NEAR:
             a.append(int(link[k]))
             b.append(new)
         left, least, link = np.delete(left, k), np.delete(least, k), np.delete(link, k)
@@ -175,34 +187,34 @@ def candidates(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bucket_forest(bucket: np.ndarray, rest: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows in whole buckets: in each a spanning forest of those that share a key of the second segment
-    and have at most ``MOST`` bits apart, the most alike first."""
-    words = golay.segment_keys(rest)
-    row, place = np.nonzero(words >= 0)
-    entry = (bucket[row] << 12) + words[row, place]
-    order = np.argsort(entry, kind="stable")
-    entry, row = entry[order], row[order]
-    starts = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
-    sizes = np.diff(np.append(starts, len(entry)))
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    small = np.repeat((sizes > 1) & (sizes <= SMALL_RUN), sizes)
-    of, at = entry[small], row[small]
-    for k in range(1, SMALL_RUN):
-        same = np.flatnonzero(of[k:] == of[: len(of) - k]) if k < len(of) else of[:0]
-        if not len(same):
-            break
-        x, y = at[same], at[same + k]
-        near = apart(sigs[x], sigs[y]) <= MOST
-        a.append(x[near])
-        b.append(y[near])
-    seen = set()
-    for start, size in zip(starts[sizes > SMALL_RUN], sizes[sizes > SMALL_RUN]):
-        run = row[start : start + size]
-        if (mark := run.tobytes()) not in seen:  # near copies often share all their keys
-            seen.add(mark)
-            x, y = candidates(sigs[run])
-            a.append(run[x])
-            b.append(run[y])
+    """Index pairs of rows in whole buckets: in each a spanning forest of those that share a key of one of the other
+    segments (columns of ``rest``) and have at most ``NEAR`` bits apart, the most alike first."""
+    a, b, seen = [np.empty(0, np.int64)], [np.empty(0, np.int64)], set()
+    for values in rest.reshape(len(rest), -1).T:
+        words = golay.segment_keys(values)
+        row, place = np.nonzero(words >= 0)
+        entry = (bucket[row] << 12) + words[row, place]
+        order = np.argsort(entry, kind="stable")
+        entry, row = entry[order], row[order]
+        starts = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
+        sizes = np.diff(np.append(starts, len(entry)))
+        small = np.repeat((sizes > 1) & (sizes <= SMALL_RUN), sizes)
+        of, at = entry[small], row[small]
+        for k in range(1, SMALL_RUN):
+            same = np.flatnonzero(of[k:] == of[: len(of) - k]) if k < len(of) else of[:0]
+            if not len(same):
+                break
+            x, y = at[same], at[same + k]
+            near = apart(sigs[x], sigs[y]) <= NEAR
+            a.append(x[near])
+            b.append(y[near])
+        for start, size in zip(starts[sizes > SMALL_RUN], sizes[sizes > SMALL_RUN]):
+            run = row[start : start + size]
+            if (mark := run.tobytes()) not in seen:  # near copies often share all their keys
+                seen.add(mark)
+                x, y = candidates(sigs[run])
+                a.append(run[x])
+                b.append(run[y])
     x, y = np.concatenate(a), np.concatenate(b)
     if not len(x):
         return x, y
@@ -220,6 +232,13 @@ def bucket_forest(bucket: np.ndarray, rest: np.ndarray, sigs: np.ndarray) -> tup
     return x[kept], y[kept]
 
 
+def met_before(a: np.ndarray, b: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Whether first segments share a codeword before ``word``. Such candidates are connected in that word's bucket, by links
+    that it tells or that have met before it, so the one of ``word`` need not tell them."""
+    x, y = (np.where(k < word[:, None], k, -1) for k in map(golay.segment_keys, (a, b)))
+    return ((x[:, :, None] == y[:, None, :]) & (x[:, :, None] >= 0)).any((1, 2))
+
+
 def connect(nodes: np.ndarray, labels: np.ndarray, sigs: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
     """Links of one run that connect its labels as all links would: every pair of two labels is compared, most alike
     fingerprints first, unless what is connected before makes it needless. ``flat``: sorted shingles, ``sizes`` of each."""
@@ -249,13 +268,18 @@ def connect(nodes: np.ndarray, labels: np.ndarray, sigs: np.ndarray, flat: np.nd
 
 
 def run_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Forests of candidates under equal keys, from ``keys.., rest, node, s0, s1``; a bucket has ``BUCKET`` rows twice at most."""
+    """Forests of candidates under equal keys, from ``keys.., r0, r1, node, sig``; a bucket has ``BUCKET`` rows twice at most."""
     wide = len(keys)
 
     def emit(rows, told):
         bucket = np.concatenate([[0], np.cumsum((rows[:wide, 1:] != rows[:wide, :-1]).any(0))])
-        x, y = bucket_forest(bucket, rows[wide], np.ascontiguousarray(rows[wide + 2 :].T).view(np.uint64))
-        x, y = rows[wide + 1, x], rows[wide + 1, y]
+        r0, r1, node, sig = rows[wide:]
+        first = r0 >> 2 * SEGMENT | r1 >> 2 * SEGMENT << 12
+        r0, r1 = (r & (1 << 2 * SEGMENT) - 1 for r in (r0, r1))
+        rest = np.stack([r0 >> SEGMENT, r0 & (1 << SEGMENT) - 1, r1 >> SEGMENT, r1 & (1 << SEGMENT) - 1], 1)
+        x, y = bucket_forest(bucket, rest, np.stack([r0, r1, sig], 1).view(np.uint64))
+        new = ~met_before(first[x], first[y], rows[0, x] & 4095)
+        x, y = node[x[new]], node[y[new]]
         pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
         if len(told) > 200_000:
             told.clear()
@@ -278,19 +302,28 @@ def run_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
         if kept is not None:
             yield from emit(kept, told)
 
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "rest", "node", "s0", "s1")
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "r0", "r1", "node", "sig")
     return dealt.mapInArrow(scan, "a long, b long").distinct()
 
 
+def hashes_of(text: str | None) -> np.ndarray:
+    """The sorted hashes of a text's distinct shingles."""
+    import xxhash
+
+    found = shingles((text or "").encode().lower().split())
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in found), np.uint64, len(found)))
+
+
 def run_links(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Labels that verified links under equal keys connect as all links would, from ``keys.., label, sig, shingles``."""
+    """Labels that verified links under equal keys connect as all links would, from ``keys.., label, sig, words``: a text,
+    or the hashes of its shingles."""
 
     def settle(run):
         if len(run) < 2 or len({r[0] for r in run}) < 2:
             return []
-        labels, sizes = np.array([r[0] for r in run]), np.array([len(r[2]) // 8 for r in run])
-        sigs = np.frombuffer(b"".join(r[1] for r in run), np.uint8).reshape(-1, HASHES)
-        return connect(labels, labels, sigs, np.frombuffer(b"".join(r[2] for r in run), "<u8"), sizes)
+        labels, sigs = np.array([r[0] for r in run]), np.frombuffer(b"".join(r[1] for r in run), np.uint8).reshape(-1, HASHES)
+        found = [np.frombuffer(r[2], "<u8") if isinstance(r[2], bytes) else hashes_of(r[2]) for r in run]
+        return connect(labels, labels, sigs, np.concatenate(found), np.array(list(map(len, found))))
 
     def scan(batches):
         last, run, found = None, [], []
@@ -306,7 +339,7 @@ def run_links(rows: DataFrame, keys: list[str]) -> DataFrame:
         found = settle(run)
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "label", "sig", "shingles")
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "label", "sig", "words")
     return dealt.mapInArrow(scan, "a long, b long").distinct()
 
 
@@ -323,69 +356,68 @@ def by_blocks(keyed: DataFrame, blocks: DataFrame, find) -> DataFrame:
     return plain.unionByName(find(split, ["key", "x", "y"])).distinct()
 
 
-def texts_of(ends: DataFrame, rows: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
-    """``node``, ``t`` of distinct nodes. Only their texts are moved."""
-    ends = common.materialize(nodes.select("node", "rid").join(ends, "node", "left_semi"), "ends")
-    ends = F.broadcast(ends) if common.bounded(ends, MAX_SENT) else ends
-    return rows.select("rid", F.col(f"__row.`{text_col}`").alias("t")).join(ends, "rid").select("node", "t")
-
-
 def shingles_of(texts: DataFrame) -> DataFrame:
-    """``node``, ``shingles``: the sorted hashes of a text's distinct shingles."""
+    """``key, node, label, sig, words`` with the text in ``words`` replaced by the hashes of its shingles."""
 
     def scan(batches):
-        import xxhash
-
-        digest = xxhash.xxh64_intdigest
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = [shingles((t.as_py() or "").encode().lower().split()) for t in part.column(1)]
-                data = [np.unique(np.fromiter((digest(x, SEED) for x in f), np.uint64, len(f))).astype("<u8").tobytes() for f in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], names=["node", "shingles"])
+                data = [hashes_of(t.as_py()).astype("<u8").tobytes() for t in part.column(4)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(data, pa.binary())], names=["key", "node", "label", "sig", "words"])
 
-    return texts.select("node", "t").mapInArrow(scan, "node long, shingles binary")
+    return texts.select("key", "node", "label", "sig", "words").mapInArrow(scan, "key long, node long, label long, sig binary, words binary")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
-    """``pairs`` with ``good``: whether the texts themselves are alike."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = common.materialize(texts_of(ends, rows, nodes, text_col), "pair-texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("y")), "b")
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` whose texts are alike."""
+    ends = [texts.select(F.col("node").alias(end), F.col("words").alias(t)) for end, t in (("a", "x"), ("b", "y"))]
+    both = pairs.join(ends[0], "a").join(ends[1], "b")
 
     def compare(batches):
         for batch in batches:
-            good = [alike(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], names=["a", "b", "good"])
+            good = pa.array([alike(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
+
+    return common.materialize(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "verified")
+
 
-    return common.materialize(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, good boolean"), "verified")
+def large_links(pairs: DataFrame, texts: DataFrame, large: DataFrame) -> DataFrame:
+    """Links of the groups of ``large``: of their forests, then, where those leave a group apart, of all its candidates."""
+    texts = common.materialize(texts.join(F.broadcast(large.select("key")) if common.bounded(large, MAX_SENT) else large.select("key"), "key"), "texts-of-large")
+    good = verified(pairs, texts)
+    root = common.materialize(components(good).select("node", F.col("root").alias("label")), "labels")
+    texts = texts.join(root, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    apart = texts.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+    apart = common.materialize(apart.join(large, "key"), "apart")
+    if apart.isEmpty():
+        return good
+    few = apart.select("key")
+    whole = common.materialize(shingles_of(texts.join(F.broadcast(few) if common.bounded(few, MAX_SENT) else few, "key")), "texts-again")
+    return good.unionByName(by_blocks(whole, apart, run_links))
 
 
 def node_groups(rows: DataFrame, text_col: str = "text", block: int = BLOCK, block_bytes: int = BLOCK_BYTES, bucket: int = BUCKET) -> DataFrame:
     """``node``, ``root`` of nodes linked to others, from written rows with ``__row, node, print, rid``."""
-    nodes = rows.groupBy("node").agg(F.min("rid").alias("rid"), F.first("print").alias("print"))
-    nodes = common.materialize(nodes, "nodes")
+    every = common.materialize(rows.groupBy("node").agg(F.min("rid").alias("rid"), F.first("print").alias("print")), "nodes")
+    nodes = every.select(F.col("rid").alias("node"), "print")
     sizes = bucket_sizes(nodes).select("key", F.ceil(F.col("c") / bucket).alias("n"))
     pairs = common.materialize(by_blocks(bucket_rows(nodes), sizes, run_pairs), "candidates")
-    first = verified(pairs, rows, nodes, text_col)
-    groups = common.materialize(components(first.where("good").select("a", "b")).select("node", "root"), "groups")
-    root = [groups.select(F.col("node").alias(end), F.col("root").alias("of_" + end)) for end in ("a", "b")]
-    refused = first.where("not good").join(root[0], "a", "left").join(root[1], "b", "left")
-    refused = refused.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b").distinct()
-    refused = common.materialize(refused, "apart")
-    if refused.isEmpty():
-        return groups
-    again = components(refused).select(F.col("node").alias("label"), F.col("root").alias("key"))
-    again = common.materialize(again, "groups-again")
-    few = F.broadcast(again) if common.bounded(again, MAX_SENT) else again
-    rest = nodes.select("node", F.substring("print", 1, HASHES).alias("sig")).join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "sig")
-    rest = common.materialize(rest.join(few, "label").select("key", "node", "label", "sig"), "nodes-again")
-    found = shingles_of(texts_of(rest.select("node").distinct(), rows, nodes, text_col))
-    whole = common.materialize(rest.join(found, "node"), "nodes-with-shingles")
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum(F.octet_length("shingles")) / block_bytes))
-    second = common.materialize(by_blocks(whole, whole.groupBy("key").agg(blocks.alias("n")), run_links), "links-again")
-    if second.isEmpty():
-        return groups
-    joined = components(second).select(F.col("node").alias("label"), F.col("root").alias("top"))
-    every = groups.unionByName(second.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(groups, "node", "left_anti").select("node", F.col("node").alias("root")))
-    return common.materialize(every.join(joined, every.root == F.col("label"), "left").select("node", F.coalesce("top", "root").alias("root")), "groups")
+    met = common.materialize(components(pairs).select("node", F.col("root").alias("key")), "met")
+    few = F.broadcast(met) if common.bounded(met, MAX_SENT) else met
+    texts = rows.select(F.col("rid").alias("node"), F.substring("print", 1, HASHES).alias("sig"), F.col(f"__row.`{text_col}`").alias("words"))
+    texts = common.materialize(texts.join(few, "node").select("key", "node", F.col("node").alias("label"), "sig", "words"), "texts")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum(F.octet_length("words")) / block_bytes)).cast("int")
+    large = common.materialize(texts.groupBy("key").agg(blocks.alias("n")).where("n > 1"), "large-groups")
+    if large.isEmpty():
+        links = run_links(texts, ["key"])
+    else:
+        some = F.broadcast(large) if common.bounded(large, MAX_SENT) else large
+        theirs = met.join(some.select("key"), "key", "left_semi").select(F.col("node").alias("a"))
+        theirs = F.broadcast(theirs) if common.bounded(theirs, MAX_SENT) else theirs
+        links = run_links(texts.join(some.select("key"), "key", "left_anti"), ["key"])
+        links = links.unionByName(large_links(pairs.join(theirs, "a", "left_semi"), texts.drop("label"), large))
+    linked = common.materialize(components(links).select(F.col("node").alias("rid"), "root"), "groups")
+    few = F.broadcast(linked) if common.bounded(linked, MAX_SENT) else linked
+    named = common.materialize(every.select("node", "rid").join(few, "rid"), "named-groups")
+    return named.select("node", "root").join(named.select(F.col("rid").alias("root"), F.col("node").alias("top")), "root").select("node", F.col("top").alias("root"))
