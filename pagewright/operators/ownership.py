@@ -62,11 +62,13 @@ def glyph_owners(glyphs: DataFrame, regions: DataFrame, scale: float = 1.0) -> D
     return glyphs.join(pages, PAGE, "left").withColumn("owner", _owner(F.col("regions"), g)).drop("regions")
 
 
-def line_owners(owned: DataFrame, regions: DataFrame) -> DataFrame:
-    """For each line of owned glyphs (with ``line_no``) the region that owns most of it; ties go to the earlier claim."""
-    tally = owned.where("owner is not null").groupBy(*LINE, F.col("owner").alias("region_no")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = tally.join(claim_ranks(regions).select(*PAGE, "region_no", "claim_rank"), [*PAGE, "region_no"])
-    best = ranked.groupBy(*LINE).agg(F.min(F.struct((-F.col("n")).alias("m"), "claim_rank", "region_no")).alias("b"))
+def line_owners(runs: DataFrame) -> DataFrame:
+    """For each line of owned runs (``paged.owned_runs``) the region that owns most of it; ties go to the earlier claim.
+
+    Runs are dealt by page once; a line's runs and its owners are counted there.
+    """
+    tally = runs.where("owner is not null").repartition(*PAGE).groupBy(*LINE, F.col("owner").alias("region_no")).agg(F.sum("n").alias("n"), F.min("claim_rank").alias("claim_rank"))
+    best = tally.groupBy(*LINE).agg(F.min(F.struct((-F.col("n")).alias("m"), "claim_rank", "region_no")).alias("b"))
     return best.select(*LINE, F.col("b.region_no").alias("region_no"), (-F.col("b.m")).alias("n_glyphs"))
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry, imaging, layout, text
-from pagewright.operators import decode, paged, scoring, suppress
+from pagewright.operators import decode, glyphs, paged, scoring, suppress
 from pagewright.sources import files, pages
 
 BOX = "x0 double, y0 double, x1 double, y1 double"
@@ -111,3 +111,21 @@ def test_words_and_lines_of_a_page(spark):
     assert [(r.line_no, r.word_no, r.text) for r in paged.word_rows(whole, 792.0).orderBy("line_no", "word_no").collect()] == [(0, 0, "ab"), (0, 1, "c"), (1, 0, "ed")]
     assert [r.text for r in paged.line_rows(whole, 792.0).orderBy("line_no").collect()] == ["ab c", "ed"]
     assert paged.line_rows(whole.limit(0)).count() == 0
+
+
+def test_text_pages_have_the_glyphs_of_their_lines(spark):
+    texts = ["ab  c\n\n\td=∑x\r\n    code α\n" + "wört 𝛼 " * 40, "", "\n\n", None, "x" * 96 + "y\n" * 120]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = paged.pages_of_text(docs)
+    assert whole.columns == ["doc_id", "page_no", "rows"]  # glyphs are never moved
+    for pages in (whole, paged.gathered(whole)):
+        made = paged.lined_glyphs(pages).drop("line_no")
+        wanted = glyphs.from_text(docs).select(*made.columns)
+        assert made.count() == wanted.count() and made.exceptAll(wanted).count() == 0
+
+
+def test_owned_runs(spark):
+    docs = spark.createDataFrame([(1, "abcdef\nxy")], "doc_id long, text string")
+    regions = spark.createDataFrame([(1, 0, 0, 50.0, 80.0, 65.0, 93.0, "text"), (1, 0, 1, 66.0, 80.0, 80.0, 93.0, "text")], f"doc_id long, page_no int, region_no int, {BOX}, label string")
+    runs = paged.owned_runs(paged.with_regions(paged.pages_of_text(docs), regions), height=792.0)
+    assert [(r.line_no, r.owner, r.n, r.glyphs, r.x0, r.x1) for r in runs.orderBy("line_no", "x0").collect()] == [(0, 0, 2, 1, 50.0, 65.0), (0, 1, 2, 5, 66.0, 81.0), (0, None, 2, 9, 82.0, 97.0), (1, None, 2, 193, 50.0, 65.0)]
