@@ -18,10 +18,6 @@ def outlines(spark, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", md.alias("md"))
 
 
-def glyphs(spark, d: str) -> DataFrame:
-    return GL.from_text(table(spark, d, "documents").select("doc_id", "text"))
-
-
 LABELS = ("text", "formula", "table", "figure_title", "image", "footnote", "paragraph_title", "table_caption")
 #: Regions of a page (pixels at scale 1, top-down): columns that overlap in the middle, six a page.
 REGIONS_SQL = f"""

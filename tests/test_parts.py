@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.functions import geometry, imaging, layout, text
+from pagewright.functions import geometry, imaging, layout, splice, text
 from pagewright.operators import decode, glyphs, paged, scoring, suppress
 from pagewright.sources import files, pages
 
@@ -129,3 +129,16 @@ def test_owned_runs(spark):
     regions = spark.createDataFrame([(1, 0, 0, 50.0, 80.0, 65.0, 93.0, "text"), (1, 0, 1, 66.0, 80.0, 80.0, 93.0, "text")], f"doc_id long, page_no int, region_no int, {BOX}, label string")
     runs = paged.owned_runs(paged.with_regions(paged.pages_of_text(docs), regions), height=792.0)
     assert [(r.line_no, r.owner, r.n, r.glyphs, r.x0, r.x1) for r in runs.orderBy("line_no", "x0").collect()] == [(0, 0, 2, 1, 50.0, 65.0), (0, 1, 2, 5, 66.0, 81.0), (0, None, 2, 9, 82.0, 97.0), (1, None, 2, 193, 50.0, 65.0)]
+
+
+def test_text_pages_give_what_their_glyph_frames_give(spark):
+    texts = ["∑∏∫√∂ = x\nplain e\n    code here\n\tmore", "    four\n" * 60 + "αβγδεζ  αβγδεζηθ", "none", "    two rows", "    of one key"]
+    docs = spark.createDataFrame(list(zip((0, 1, 2, 3, 3), texts)), "doc_id long, text string")
+    pages, frame = paged.pages_of_text(docs), glyphs.from_text(docs)
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect()))
+    signals = paged.page_sums(pages, "e").groupBy("doc_id", "page_no").sum("n_math", "n_chars").toDF("doc_id", "page_no", "n_math", "n_chars")
+    assert same(signals, glyphs.page_signals(frame))
+    assert same(paged.page_sums(paged.paged(frame)), paged.page_sums(paged.gathered(pages)))
+    assert same(glyphs.fenced_runs(paged.code_runs(paged.gathered(pages))), glyphs.code_blocks(frame))
+    clusters = glyphs.math_clusters(glyphs.top_down(frame))
+    assert same(paged.math_clusters(paged.gathered(pages), height=792.0), clusters) and clusters.count() == 2
