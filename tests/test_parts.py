@@ -142,3 +142,16 @@ def test_text_pages_give_what_their_glyph_frames_give(spark):
     assert same(glyphs.fenced_runs(paged.code_runs(paged.gathered(pages))), glyphs.code_blocks(frame))
     clusters = glyphs.math_clusters(glyphs.top_down(frame))
     assert same(paged.math_clusters(paged.gathered(pages), height=792.0), clusters) and clusters.count() == 2
+
+
+def test_lines_of_regions_go_to_the_owner_of_most(spark):
+    docs = spark.createDataFrame([(1, "abcdefgh"), (2, "abcd")], "doc_id long, text string")
+    regions = spark.createDataFrame([(1, 0, 0, 50.0, 80.0, 65.0, 93.0, "text"), (1, 0, 1, 66.0, 80.0, 105.0, 93.0, "text"), (2, 0, 0, 50.0, 80.0, 65.0, 93.0, "text"), (2, 0, 1, 66.0, 80.0, 81.0, 93.0, "formula")], f"doc_id long, page_no int, region_no int, {BOX}, label string")
+    rows = paged.region_lines(paged.with_regions(paged.pages_of_text(docs), regions), height=792.0).orderBy("doc_id", "free").collect()
+    assert [(r.doc_id, r.free, r.region_no, r.text) for r in rows] == [(1, False, 1, "abcdefg"), (1, True, None, "h"), (2, False, 1, "abcd")]
+
+
+def test_places_of_words():
+    plain, here, there = splice.normalized("  a\t\nbc \n d ")
+    assert (plain, here, there) == ("a bc d", [0, 2, 5], [2, 5, 10])
+    assert splice.place_images("x\n one\ttwo  three\nfour", [(0.0, 9.0, "x"), (10.0, 19.0, "two three")], [(1.0, 9.0, "i.png")]) == "x\n\n\n![](i.png)\n\n one\ttwo  three\nfour"
