@@ -5,11 +5,15 @@ Model outputs arrive as tables (one row for each time step, box or pair), so the
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
+from ..session import ship
 from .ordered import joined
 
 
@@ -91,18 +95,36 @@ def slot_confidence(words: DataFrame, cells: DataFrame, keys: list[str]) -> Data
     return best.groupBy(*keys).agg(((F.avg("share") + F.min("share")) / 2).alias("confidence"))
 
 
+def _likely(l0: str, l1: str) -> Column:
+    """``geometry.edge_probability`` by the C library's ``exp``. Opposite logits are likely by a half on average, so a last
+    digit decides at the threshold, and that of the JVM's ``exp`` differs."""
+
+    @F.pandas_udf("double")
+    def logistic(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(d):
+            try:
+                return 1 / (1 + math.exp(d))
+            except OverflowError:
+                return 0.0
+
+        return pd.Series([one(d) for d in a - b], dtype=float)
+
+    # what is not a number comes back as null
+    return F.coalesce(logistic(l0, l1), G.edge_probability(F.col(l0), F.col(l1)))
+
+
 def linked_text(edges: DataFrame, objects: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
     """Captions and footers of tables: pairs of objects whose two directed edges are likely on average.
 
     ``edges``: keys, i, j, l0, l1 (logits); ``objects``: keys, idx, label, text, y0. Objects without text are no parts.
     """
-    p = edges.select(*keys, "i", "j", G.edge_probability(F.col("l0"), F.col("l1")).alias("p"))
-    back = p.select(*keys, F.col("i").alias("j"), F.col("j").alias("i"), F.col("p").alias("q"))
-    pairs = p.join(back, [*keys, "i", "j"]).withColumn("edge_score", (F.col("p") + F.col("q")) / 2).where(F.col("edge_score") >= threshold)
+    ship(edges.sparkSession)
     tables = objects.where(F.col("label").isin("table", "table rotated")).select(*keys, F.col("idx").alias("i"))
     kind = F.when(F.col("label").startswith("table caption"), "caption").when(F.col("label").startswith("table footer"), "footer")
     parts = objects.withColumn("kind", kind).where("kind is not null and trim(text) <> ''").select(*keys, F.col("idx").alias("j"), "kind", F.trim("text").alias("text"), F.col("y0").alias("part_y"))
-    rows = pairs.join(tables, [*keys, "i"]).join(parts, [*keys, "j"])
+    there = edges.select(*keys, "i", "j", "l0", "l1").join(tables, [*keys, "i"]).join(parts, [*keys, "j"])
+    back = edges.select(*keys, F.col("i").alias("j"), F.col("j").alias("i"), F.col("l0").alias("b0"), F.col("l1").alias("b1"))
+    rows = there.join(back, [*keys, "i", "j"]).withColumn("edge_score", (_likely("l0", "l1") + _likely("b0", "b1")) / 2).where(F.col("edge_score") >= threshold)
     return rows.groupBy(*keys, F.col("i").alias("table_no"), "kind").agg(joined("text", ["part_y", "j"], " ").alias("text"), F.max("edge_score").alias("best_edge"), F.count(F.lit(1)).alias("n_parts"))
 
 

@@ -155,3 +155,12 @@ def test_places_of_words():
     plain, here, there = splice.normalized("  a\t\nbc \n d ")
     assert (plain, here, there) == ("a bc d", [0, 2, 5], [2, 5, 10])
     assert splice.place_images("x\n one\ttwo  three\nfour", [(0.0, 9.0, "x"), (10.0, 19.0, "two three")], [(1.0, 9.0, "i.png")]) == "x\n\n\n![](i.png)\n\n one\ttwo  three\nfour"
+
+
+def test_links_at_the_threshold(spark):
+    # opposite logits of vectors 4766 and 30230 of a table of 40,000: a half on average, but for the last digit
+    logits = {1: (-0.0344, 0.0344), 2: (-0.001, 0.001), 3: (float("nan"), 0.0), 4: (None, 1.0), 5: (-900.0, 900.0)}
+    both = [(v, 0, 1, a and a * 10, b * 3) for v, (a, b) in logits.items()] + [(v, 1, 0, b * 10, a and a * 3) for v, (a, b) in logits.items()]
+    edges = spark.createDataFrame(both, "v long, i int, j int, l0 double, l1 double")
+    objects = spark.createDataFrame([(v, *o) for v in logits for o in ((0, "table", "t", 0.0), (1, "table caption", "c", 0.0))], "v long, idx int, label string, text string, y0 double")
+    assert sorted(r.v for r in decode.linked_text(edges, objects, ["v"]).collect()) == [2, 3, 5]
