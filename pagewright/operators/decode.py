@@ -7,12 +7,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import geometry as G
 from ..functions import text as T
+from ..functions.layout import firsts
 from ..session import ship
 from .ordered import joined
 
@@ -58,21 +62,64 @@ def structure_charset(tokens) -> Column:
     return F.concat(F.array(F.lit("sos")), F.array_remove(whole, "<td>"), F.array(F.lit("eos")))
 
 
+_CELLS = ("no", "x0", "y0", "x1", "y1")
+
+
+def _in_cells(boxes: DataFrame, cells: DataFrame, keys: list[str], schema: str, find) -> DataFrame:
+    """``boxes`` with the ``schema`` that ``find`` gives, from a batch's bounds of boxes, and of cells and their numbers, of
+    all pairs of a box and a cell of its keys, box by box and in order of cells: the place of the box in the batch, and
+    columns. A table's cells are gathered to one array, so a box meets them in its row; pairs are rated on flat arrays."""
+    ship(boxes.sparkSession)
+    gathered = F.array_sort(F.collect_list(F.struct(F.col("cell_no").alias("no"), "x0", "y0", "x1", "y1")))
+    rows = boxes.join(cells.groupBy(*keys).agg(gathered.alias("__cells")), keys)
+    kept = [c for c in rows.columns if c != "__cells"]
+    schema = StructType(rows.select(*kept).schema.fields + StructType.fromDDL(schema).fields)
+
+    def scan(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(start, AT_ONCE)
+                lists = batch.column("__cells")
+                flat, count = lists.flatten(), np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+                of = np.repeat(np.arange(batch.num_rows), count)
+                box = [batch.column(c).to_numpy(zero_copy_only=False).astype(float)[of] for c in _CELLS[1:]]
+                at, columns = find(of, box, [flat.field(c).to_numpy(zero_copy_only=False) for c in _CELLS[1:]], flat.field("no").to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in kept), *map(pa.array, columns)], names=schema.names)
+
+    return rows.mapInArrow(scan, schema)
+
+
+#: Boxes whose pairs with cells are rated at a time.
+AT_ONCE = 4096
+
+
+def _sides(box) -> np.ndarray:
+    return np.maximum(box[2] - box[0], 0.0) * np.maximum(box[3] - box[1], 0.0)
+
+
+def _shared(a, b) -> np.ndarray:
+    return _sides([np.maximum(a[0], b[0]), np.maximum(a[1], b[1]), np.minimum(a[2], b[2]), np.minimum(a[3], b[3])])
+
+
 def match_cells(lines: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
     """Each recognized line with the table cell of the best IoU, then the nearest corners; lines off all cells drop out.
 
-    A table's cells are gathered to one array, so a line meets them in its row. Ties go to the first cell.
+    Ties go to the first cell.
     """
-    boxes = F.array_sort(F.collect_list(F.struct(F.col("cell_no").alias("no"), "x0", "y0", "x1", "y1")))
-    tables = cells.groupBy(*keys).agg(boxes.alias("cells"))
 
-    def rated(c):
-        b = G.of_struct(c)
-        share = G.iou(G.box(), b)
-        return F.when(share > 1e-8, F.struct((1 - share).alias("far"), G.corner_distance(G.box(), b).alias("d"), c["no"].alias("no")))
+    def find(of, box, cell, no):
+        inter = _shared(box, cell)
+        union = _sides(box) + _sides(cell) - inter
+        meets = np.flatnonzero((inter > 0) & (union > 0))
+        share = inter[meets] / union[meets]
+        meets, share = meets[share > 1e-8], share[share > 1e-8]
+        ends = [np.abs(c[meets] - b[meets]) for b, c in zip(box, cell)]
+        first, second = ends[0] + ends[1], ends[2] + ends[3]
+        order = np.lexsort((no[meets], first + second + np.minimum(first, second), 1 - share, of[meets]))
+        best = meets[order[firsts(of[meets][order])]]
+        return of[best], [no[best].astype(np.int32)]
 
-    best = F.array_min(F.transform("cells", rated))
-    return lines.join(tables, keys).withColumn("cell_no", best["no"]).where("cell_no is not null").drop("cells")
+    return _in_cells(lines, cells, keys, "cell_no int", find)
 
 
 def slot_words(words: DataFrame, cells: DataFrame, keys: list[str], threshold: float = 0.5, forced: bool = False, unique: bool = True) -> DataFrame:
@@ -81,12 +128,18 @@ def slot_words(words: DataFrame, cells: DataFrame, keys: list[str], threshold: f
     The best cell takes a word from ``threshold`` on, or in any case if ``forced``; others from the threshold on if not
     ``unique``. Ties go to the first cell.
     """
-    boxes = F.array_sort(F.collect_list(F.struct(F.col("cell_no").alias("no"), "x0", "y0", "x1", "y1")))
-    tables = cells.groupBy(*keys).agg(boxes.alias("cells"))
-    rated = F.array_sort(F.transform("cells", lambda c: F.struct((-G.covered(G.box(), G.of_struct(c))).alias("s"), c["no"].alias("no"))))
-    rows = words.join(tables, keys).withColumn("rated", rated).drop("cells")
-    chosen = F.filter("rated", lambda r, i: ((i == 0) & F.lit(forced)) | ((-r["s"] >= threshold) & ((i == 0) | F.lit(not unique))))
-    return rows.select(*[c for c in rows.columns if c != "rated"], F.explode(chosen).alias("r")).select("*", F.col("r.no").alias("cell_no"), (-F.col("r.s")).alias("share")).drop("r")
+
+    def find(of, box, cell, no):
+        size = _sides(box)
+        share = np.divide(_shared(box, cell), size, out=np.zeros(len(size)), where=size > 0)
+        order = np.lexsort((no, -share, of))
+        if not forced:
+            order = order[share[order] >= threshold]
+        best = firsts(of[order])
+        chosen = order[best | (share[order] >= threshold)] if not unique else order[best]
+        return of[chosen], [no[chosen].astype(np.int32), share[chosen]]
+
+    return _in_cells(words, cells, keys, "cell_no int, share double", find)
 
 
 def slot_confidence(words: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:

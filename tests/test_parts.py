@@ -164,3 +164,15 @@ def test_links_at_the_threshold(spark):
     edges = spark.createDataFrame(both, "v long, i int, j int, l0 double, l1 double")
     objects = spark.createDataFrame([(v, *o) for v in logits for o in ((0, "table", "t", 0.0), (1, "table caption", "c", 0.0))], "v long, idx int, label string, text string, y0 double")
     assert sorted(r.v for r in decode.linked_text(edges, objects, ["v"]).collect()) == [2, 3, 5]
+
+
+def test_cells_of_boxes(spark):
+    cells = spark.createDataFrame([(1, 2, 10.0, 0.0, 20.0, 10.0), (1, 1, 10.0, 0.0, 20.0, 10.0), (1, 0, 0.0, 0.0, 10.0, 10.0)], f"k long, cell_no int, {BOX}")
+    boxes = spark.createDataFrame([(1, "b", 12.0, 0.0, 18.0, 10.0), (1, "a", 8.0, 0.0, 12.0, 10.0), (1, "far", 90.0, 0.0, 99.0, 9.0), (1, "flat", 5.0, 5.0, 5.0, 5.0), (2, "alone", 0.0, 0.0, 9.0, 9.0)], f"k long, w string, {BOX}")
+    taken = lambda df, *c: sorted(tuple(r[n] for n in ("w", "cell_no", *c)) for r in df.collect())
+    matched = decode.match_cells(boxes, cells, ["k"])
+    assert taken(matched) == [("a", 0), ("b", 1)] and matched.columns == ["k", "w", "x0", "y0", "x1", "y1", "cell_no"]
+    assert taken(decode.slot_words(boxes, cells, ["k"]), "share") == [("a", 0, 0.5), ("b", 1, 1.0)]
+    assert taken(decode.slot_words(boxes, cells, ["k"], unique=False)) == [("a", 0), ("a", 1), ("a", 2), ("b", 1), ("b", 2)]
+    assert taken(decode.slot_words(boxes, cells, ["k"], 0.6, forced=True)) == [("a", 0), ("b", 1), ("far", 0), ("flat", 0)]
+    assert "MapInArrow" in matched._jdf.queryExecution().executedPlan().toString()  # pairs are not rated by interpreted lambdas
