@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.functions import geometry, imaging, layout, splice, text
+from pagewright.functions import geometry, imaging, layout, page_tables, splice, text
 from pagewright.operators import decode, glyphs, paged, scoring, suppress
 from pagewright.sources import files, pages
 
@@ -176,3 +176,13 @@ def test_cells_of_boxes(spark):
     assert taken(decode.slot_words(boxes, cells, ["k"], unique=False)) == [("a", 0), ("a", 1), ("a", 2), ("b", 1), ("b", 2)]
     assert taken(decode.slot_words(boxes, cells, ["k"], 0.6, forced=True)) == [("a", 0), ("b", 1), ("far", 0), ("flat", 0)]
     assert "MapInArrow" in matched._jdf.queryExecution().executedPlan().toString()  # pairs are not rated by interpreted lambdas
+
+
+def test_slots_of_few_and_many_cells(monkeypatch):
+    cells = [(10.0 * k, 0.0, 10.0 * k + 12, 10.0) for k in range(9)]
+    words = [(x, 1.0, x + 7, 5.0) for x in (0.0, 8.0, 31.0, 90.0, 200.0)] + [(5.0, 5.0, 5.0, 5.0)]
+    few = page_tables.slots(cells, words, 0.5)
+    assert few[0] == [0, 0, 3, 8, None, None]
+    monkeypatch.setattr(page_tables, "FEW", 0)
+    assert page_tables.slots(cells, words, 0.5) == few
+    assert page_tables.share_in([page_tables.Thing((0.0, 0.0, 10.0, 10.0)), page_tables.Thing((1.0, 1.0, 1.0, 9.0))], (5.0, 5.0, 9.0, 20.0)) == [0.2, 0.0]
