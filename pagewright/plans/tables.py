@@ -99,16 +99,22 @@ tall AS (SELECT doc_id, max(r) AS last, count(*) AS n FROM cells GROUP BY doc_id
 def _source_tables(spark, d):
     """Every text's words as a table of one to four columns: doc_id, rows, has_header, col_count."""
     nc = (F.col("doc_id") % 4 + 1).cast("int")
-    rows = table(spark, d, "documents").where("text is not null").select("doc_id", nc.alias("nc"), F.posexplode(T_words("text")).alias("k", "w"))
-    i, doc = F.col("k") + 1, F.col("doc_id")
-    t = F.when((i % 7 == 0) | (doc % 10 == 9), " ").otherwise(F.concat("w", F.when(i % 5 == 0, "|<&").otherwise("")))
-    cell = F.struct(t.alias("text"), F.when((doc % 6 == 0) & (i == 2), 2).otherwise(1).alias("colspan"), F.lit(1).alias("rowspan"))
-    by_row = rows.select("doc_id", "nc", "k", F.floor(F.col("k") / F.col("nc")).cast("int").alias("r"), cell.alias("cell"))
-    lines = by_row.groupBy("doc_id", "nc", "r").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "cell"))), lambda x: x["cell"]).alias("cells"))
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", nc.alias("nc"), T_words("text").alias("ws")).where("size(ws) > 0")
+    doc, nc = F.col("doc_id"), F.col("nc")
     head = F.when(doc % 3 == 0, 1).otherwise(-1)
-    whole = lines.groupBy("doc_id", "nc").agg(F.array_sort(F.collect_list(F.struct("r", "cells"))).alias("rs"))
-    built = F.transform("rs", lambda x: F.struct((x["r"] == head).alias("is_header"), x["cells"].alias("cells")))
-    return whole.select("doc_id", built.alias("rows"), (doc % 5 == 0).alias("has_header"), F.col("nc").alias("col_count"))
+
+    def cell(w, k):
+        i = k + 1
+        t = F.when((i % 7 == 0) | (doc % 10 == 9), " ").otherwise(F.concat(w, F.when(i % 5 == 0, "|<&").otherwise("")))
+        return F.struct(t.alias("text"), F.when((doc % 6 == 0) & (i == 2), 2).otherwise(1).alias("colspan"), F.lit(1).alias("rowspan"))
+
+    # a table is cut from its text's words inside the row: nothing is shuffled
+    def row(r):
+        return F.struct((r == head).alias("is_header"), F.transform(F.slice("ws", r * nc + 1, nc), lambda w, k: cell(w, r * nc + k)).alias("cells"))
+
+    built = F.transform(F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / nc).cast("int")), row)
+    # unfolded, so that the rows are built once however often they are used
+    return docs.select("doc_id", F.inline(F.array(F.struct(built.alias("rows"), (doc % 5 == 0).alias("has_header"), nc.alias("col_count")))))
 
 
 def T_words(c):
