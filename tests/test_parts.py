@@ -1,5 +1,7 @@
 """Functions that plans and converters use in part only, on literal cases."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -180,9 +182,24 @@ def test_cells_of_boxes(spark):
 
 def test_slots_of_few_and_many_cells(monkeypatch):
     cells = [(10.0 * k, 0.0, 10.0 * k + 12, 10.0) for k in range(9)]
-    words = [(x, 1.0, x + 7, 5.0) for x in (0.0, 8.0, 31.0, 90.0, 200.0)] + [(5.0, 5.0, 5.0, 5.0)]
+    words = [(x, 1.0, x + 7, 5.0) for x in (0.0, 8.0, 31.0, 82.0, 200.0)] + [(5.0, 5.0, 5.0, 5.0)]
     few = page_tables.slots(cells, words, 0.5)
-    assert few[0] == [0, 0, 3, 8, None, None]
+    assert few[0] == [0, 1, 3, 8, None, None]
     monkeypatch.setattr(page_tables, "FEW", 0)
     assert page_tables.slots(cells, words, 0.5) == few
     assert page_tables.share_in([page_tables.Thing((0.0, 0.0, 10.0, 10.0)), page_tables.Thing((1.0, 1.0, 1.0, 9.0))], (5.0, 5.0, 9.0, 20.0)) == [0.2, 0.0]
+
+
+def test_title_at_its_place(spark):
+    md = F.lit("\n\nA title\nbody")
+    assert one(spark, text.with_title(md, text.title_place(md))) == "\n\n# A title\nbody" == one(spark, text.promote_title(md))
+    none = F.lit("1, 2, 3\n")
+    assert one(spark, text.with_title(none, text.title_place(none))) == "1, 2, 3\n"
+
+
+def test_source_tables_move_no_words(spark):
+    from pagewright.plans import tables
+
+    if os.path.isdir("/root/testdata/sf0.001"):
+        plan = tables._source_tables(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan
